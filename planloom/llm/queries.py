@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from planloom.llm import sharding
+from planloom.llm import linededup, sharding
 from planloom.llm.common import table
 
 
@@ -10,5 +10,29 @@ def op4_ring_shards(spark, sf_dir):
     return sharding.assign_shards(table(spark, sf_dir, "documents"), shards=24)
 
 
-QUERIES = {"op4_ring_shards": op4_ring_shards}
-ORACLES: dict[str, str] = {}
+def op8_line_dedup(spark, sf_dir):
+    return linededup.line_digests(table(spark, sf_dir, "documents"))
+
+
+#: DuckDB strips these with trim's second argument, and lower-cases A-Z only with translate.
+_ASCII_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP8_SQL = f"""
+WITH lines AS (
+  SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+), keyed AS (
+  SELECT *, {_LOWER.format(f"trim(line, {_ASCII_SPACE})")} AS k FROM lines
+), seen AS (
+  SELECT k, min(doc_id) AS first_doc FROM keyed WHERE length(k) >= {linededup.MIN_CHARS} GROUP BY k HAVING count(DISTINCT doc_id) >= 2
+), marked AS (
+  SELECT y.doc_id, y.pos, y.line, coalesce(y.doc_id > s.first_doc, false) AS lost FROM keyed y LEFT JOIN seen s ON y.k = s.k
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+QUERIES = {"op4_ring_shards": op4_ring_shards, "op8_line_dedup": op8_line_dedup}
+ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL}
