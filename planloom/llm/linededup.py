@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planloom.llm.common import scratch, stored
+from planloom.llm.common import numbered, stored
 
 #: Shortest key, in code points, that is deduplicated.
 MIN_CHARS = 10
@@ -291,32 +291,34 @@ def references(docs: DataFrame) -> DataFrame:
     return stored(_keyed(docs).mapInArrow(_references, REFS), "references")
 
 
-def _apply(keep_text: bool, fields: list[str]):
+def _kept(batch: pa.RecordBatch, text_name: str) -> Iterator[tuple[bytes | None, int, int]]:
+    """(text that is left, its lines before, lines dropped) of each row."""
+    for text, keys in zip(_texts(batch, text_name), batch.column("keys").to_pylist(), strict=True):
+        lines = kept = (text or b"").split(b"\n")
+        if keys:
+            lost = {np.array([k["hi"], k["lo"]], np.int64).tobytes() for k in keys}
+            kept = [x for x in lines if not (counts_as_key(k := line_key(x)) and _digest(k) in lost)]
+        yield text if len(kept) == len(lines) else b"\n".join(kept), len(lines), len(lines) - len(kept)
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [(n, d, hashlib.sha256(x or b"").hexdigest()) for x, n, d in _kept(batch, "text")]
+        n_lines, n_dropped, sha = zip(*found, strict=True) if found else ((), (), ())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
+
+
+def _rewrite(inner: list[str], text: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_lines, n_dropped, kept = [], [], []
-            for text, keys in zip(_texts(batch, "text"), batch.column("keys").to_pylist(), strict=True):
-                lines = (text or b"").split(b"\n")
-                n_lines.append(len(lines))
-                if keys:
-                    lost = {np.array([k["hi"], k["lo"]], np.int64).tobytes() for k in keys}
-                    lines = [x for x in lines if not (counts_as_key(k := line_key(x)) and _digest(k) in lost)]
-                n_dropped.append(n_lines[-1] - len(lines))
-                kept.append(text if n_dropped[-1] == 0 else b"\n".join(lines))
-            out = {n: batch.column(n) for n in fields if n != "text"}
-            if keep_text:
-                out["text"] = pa.array(kept, pa.binary()).cast(pa.string())
-            else:
-                out |= {"n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x or b"").hexdigest() for x in kept], pa.string())}
-            names = list(fields) if keep_text else [*fields, "n_lines", "n_dropped", "kept_sha256"]
-            yield pa.RecordBatch.from_arrays([out[n] for n in names], names)
+            kept = pa.array([x for x, _, _ in _kept(batch, text)], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([kept if c == text else batch.column(c) for c in inner], names)
 
     return run
 
 
-def _with_drops(docs: DataFrame, index: LineIndex | None) -> DataFrame:
-    drops = (index or LineIndex.of(docs)).drops().withColumnRenamed("doc", "__doc")
-    return docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))).join(drops, "__doc", "left")
+def _with_drops(rows: DataFrame, doc_id: str, drops: DataFrame) -> DataFrame:
+    return rows.withColumn("doc", F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID))).join(drops, "doc", "left").drop("doc")
 
 
 def line_digests(docs: DataFrame, index: LineIndex | None = None) -> DataFrame:
@@ -325,11 +327,12 @@ def line_digests(docs: DataFrame, index: LineIndex | None = None) -> DataFrame:
     A null or empty text is one empty line, which is no key. Rows that repeat a doc_id are one document, so a line is never
     lost to a row of its own document. Null doc_ids are one document after all others. Other columns are ignored.
     """
-    joined = _with_drops(docs.select("doc_id", "text"), index).select("doc_id", "text", "keys")
-    return joined.mapInArrow(_apply(False, ["doc_id"]), "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return _with_drops(rows, "doc_id", (index or LineIndex.of(docs)).drops()).mapInArrow(_digests, "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string")
 
 
 def drop_repeated_lines(docs: DataFrame, index: LineIndex | None = None) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``; all other columns and all rows stay."""
-    joined = _with_drops(docs, index).withColumnRenamed("keys", "__keys").select(*docs.columns, F.col("__keys").alias("keys"))
-    return joined.mapInArrow(_apply(True, docs.columns), docs.schema)
+    rows, at = numbered(docs)
+    joined = _with_drops(rows, at["doc_id"], (index or LineIndex.of(docs)).drops())
+    return joined.mapInArrow(_rewrite(rows.columns, at["text"], docs.columns), docs.schema)

@@ -2,18 +2,40 @@
 
 from __future__ import annotations
 
-from planloom.llm import linededup, sharding
+from planloom.llm import decontamination, linededup, packing, sharding, simhash
 from planloom.llm.common import table
 
 
+#: The public vocabulary with which op1 and the pipeline pack.
+VOCABULARY = "word_bpe_49k.json"
+
+
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_sum_of_squares(spark, sf_dir):
+    return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents"), vocabulary_path()))
+
+
 def op4_ring_shards(spark, sf_dir):
     return sharding.assign_shards(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op6_suffix_arrays(spark, sf_dir):
+    return decontamination.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("matches")
+
+
 def op8_line_dedup(spark, sf_dir):
     return linededup.line_digests(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash_tiles(spark, sf_dir):
+    return simhash.fingerprint_digests(table(spark, sf_dir, "documents"))
+
+
 #: DuckDB strips these with trim's second argument, and lower-cases A-Z only with translate.
 _ASCII_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -34,5 +56,36 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-QUERIES = {"op4_ring_shards": op4_ring_shards, "op8_line_dedup": op8_line_dedup}
-ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL}
+OP6_SQL = f"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+), sized AS (
+  SELECT item_id, w, least({decontamination.WINDOW}, len(w)) AS n FROM items WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g
+  FROM (SELECT item_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM sized)
+), grams AS (
+  SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g
+  FROM (SELECT doc_id, w, s.n, unnest(generate_series(1, len(w) - s.n + 1)) AS i FROM docs, (SELECT DISTINCT n FROM sized) s)
+), found AS (
+  SELECT d.doc_id, d.i, d.n, t.item_id FROM grams d JOIN windows t ON d.n = t.n AND d.g = t.g
+), hits AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM (SELECT DISTINCT doc_id, i, n FROM found), range({decontamination.WINDOW}) r(k) WHERE k < n GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM found) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(m.n_items, 0) AS n_items, sha256(coalesce(m.ids, '')) AS items_sha256,
+  coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.w) AS contaminated
+FROM docs d LEFT JOIN hits h ON d.doc_id = h.doc_id LEFT JOIN named m ON d.doc_id = m.doc_id
+"""
+
+QUERIES = {
+    "op1_sum_of_squares": op1_sum_of_squares,
+    "op4_ring_shards": op4_ring_shards,
+    "op6_suffix_arrays": op6_suffix_arrays,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_simhash_tiles": op9_simhash_tiles,
+}
+ORACLES: dict[str, str] = {"op6_suffix_arrays": OP6_SQL, "op8_line_dedup": OP8_SQL}
