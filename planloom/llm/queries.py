@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from planloom.llm import decontamination, licenses, linededup, packing, rules, sharding, simhash, urltrust, warc
+from planloom.llm import bytecnn, decontamination, licenses, linededup, packing, rules, sharding, simhash, urltrust, warc
 from planloom.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op1_sum_of_squares(spark, sf_dir):
     return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents"), vocabulary_path()))
 
 
+def op2_byte_network(spark, sf_dir):
+    return bytecnn.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_adaptive_rules(spark, sf_dir):
     return rules.judge(table(spark, sf_dir, "documents")).drop("failed")
 
@@ -209,6 +213,7 @@ FROM docs d LEFT JOIN hits h ON d.doc_id = h.doc_id LEFT JOIN named m ON d.doc_i
 
 QUERIES = {
     "op1_sum_of_squares": op1_sum_of_squares,
+    "op2_byte_network": op2_byte_network,
     "op3_adaptive_rules": op3_adaptive_rules,
     "op4_ring_shards": op4_ring_shards,
     "op5_link_trust": op5_link_trust,
