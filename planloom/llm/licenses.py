@@ -3,7 +3,8 @@
 Rules are regular expressions over a text's words joined by blanks; versions, suffixes and variants multiply a few
 signatures into hundreds of rules, and a rule's priority is its place. Texts without a keyword, which are nearly all, are
 passed over by substring search. In the others, a rule runs only if its own keyword is there. Detections are intervals of
-words. They are taken by start, longest first, and by priority; one that lies inside what was taken is suppressed.
+words. They are taken by start, longest first, and by priority; one that lies inside what was taken is suppressed. A rule
+for licenses without a signature runs only where nothing else was found.
 """
 
 from __future__ import annotations
@@ -101,12 +102,13 @@ def rules() -> list[Rule]:
         ("proprietary", "proprietary", "proprietary and confidential"),
         ("reserved", "rights reserved", "(?:all|some|no) rights reserved"),
         ("copyright", "copyright", "copyright (?:c )?(?:19|20)\\d\\d"),
-        ("licensed", "licen", "(?:released|distributed|licen[sc]ed|available) under (?:the )?(?:terms of )?(?:the )?\\S+(?: \\S+){0,3}? licen[sc]e"),
     ):
         out.append(Rule(label, keyword, phrase))
     return out
 
 
+#: Run only where no other rule detects anything.
+FALLBACK = (Rule("licensed", "licen", "(?:released|distributed|licen[sc]ed|available) under (?:the )?(?:terms of )?(?:the )?\\S+(?: \\S+){0,3}? licen[sc]e"),)
 #: Every detection but those of ``cc by`` has one of these in it, whatever separates its words.
 GATE = ("licen", "copyright", "reserved", "commons", "gpl", "spdx", "bsd", "cc0", "permission", "domain", "proprietary", "wtfpl")
 
@@ -171,15 +173,18 @@ def scan(docs: DataFrame) -> DataFrame:
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     line = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.translate(text, upper, lower), F.lit(solid + "+"), F.lit(0)), " "), F.lit(" "))
 
-    made = F.array(*[F.struct(F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.label).alias("label"), F.lit(k).alias("rank")) for k, r in enumerate(table)])
-    base = F.array(*[F.struct(F.lit(p).alias("keyword"), F.lit(p).alias("pattern"), F.lit(b).alias("label"), F.lit(len(table)).alias("rank")) for p, b in BASE.items()])
+    def constant(those, first: int) -> Column:
+        return F.array(*[F.struct(F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.label).alias("label"), F.lit(first + k).alias("rank")) for k, r in enumerate(those)])
+
+    made, base, fallback = constant(table, 0), constant([Rule(b, p, p) for p, b in BASE.items()], len(table)), constant(FALLBACK, len(table) + len(BASE))
 
     def run(s: Column, those: Column) -> Column:
         active = F.filter(those, lambda r: F.contains(s, r["keyword"]))
         return F.flatten(F.transform(active, lambda r: _places(s, r["pattern"], r["label"], r["rank"])))
 
     kind = "struct<b:array<struct<start:int,back:int,rank:int,end:int,label:string>>,r:struct<far:int,covered:int,labels:array<string>>>"
-    both = lambda s: _let(run(s, base), lambda b: F.struct(b.alias("b"), _resolved(F.concat(run(s, made), b)).alias("r")))
+    known = lambda s, r: F.when(F.size(r["labels"]) > 0, r).otherwise(_resolved(run(s, fallback)))
+    both = lambda s: _let(run(s, base), lambda b: F.struct(b.alias("b"), _let(_resolved(F.concat(run(s, made), b)), lambda r: known(s, r)).alias("r")))
     found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), words.cast("bigint").alias("n_words"), F.when(gate, _let(line, both)).cast(kind).alias("found"))
     found = found.select("doc_id", "n_words", F.coalesce("found.b", F.array().cast("array<struct<start:int,back:int,rank:int,end:int,label:string>>")).alias("b"), F.coalesce("found.r.labels", F.array().cast("array<string>")).alias("more"), F.coalesce("found.r.covered", F.lit(0)).alias("covered"))
     starts, base_labels = F.transform("b", lambda x: x["start"]), F.array_distinct(F.transform("b", lambda x: x["label"]))
