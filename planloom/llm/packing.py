@@ -9,7 +9,9 @@ the end that one is cut into sequences whose lengths are powers of two, which ne
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,37 +24,44 @@ WINDOW = 4096
 END_ID = 2
 #: Open windows of a task, by which its memory is bounded.
 MAX_OPEN = 1024
-#: Chunks of text whose ids a task remembers.
-MAX_CACHED = 400_000
+#: Pieces of text whose ids a worker remembers.
+MAX_CACHED = 500_000
 #: Characters that are tokenized together.
 GROUP_CHARS = 1 << 20
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
-class ChunkEncoder:
-    """Ids of whole texts from the ids of their chunks between white space.
+#: Texts of these characters alone are split here; lower-casing and normalisation are plain for them.
+PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), *(b for b in range(0xC0, 0x100) if b not in (0xD7, 0xF7))])
+#: What the vocabulary's own pattern finds in such texts, once they are lower-cased.
+PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^ \t\n\ra-zß-öø-ÿ0-9]+")
 
-    The vocabulary's pattern never matches across white space and its normaliser changes nothing across it, so a text's
-    ids are those of its chunks in a row. Each distinct chunk is tokenized once.
+
+class PieceEncoder:
+    """Ids of whole texts from the ids of their pieces, each distinct piece being tokenized once.
+
+    The vocabulary's pattern cuts texts into runs of letters, digits and signs, and merges stay within them. Plain texts are
+    cut by the same pattern here. Other texts are cut at blanks, tabs and line ends only, which neither the pattern nor the
+    normaliser reaches across, and the tokenizer gets these chunks as they are.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
-        self._reset()
-
-    def _reset(self) -> None:
-        self.known: dict[str, int] = {"": 0}
+        self.model = self.tokenizer.model
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in PLAIN if c > 32}
+        self.known: dict[str, int] = {}
         self.starts, self.sizes = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.flat, self.used = np.zeros(1 << 14, np.uint32), 0
 
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.known) + len(chunks) > MAX_CACHED:
-            self._reset()
-        for c, enc in zip(chunks, self.tokenizer.encode_batch(chunks, add_special_tokens=False), strict=True):
-            ids, k = enc.ids, len(self.known)
+    def _learn(self, pieces: list[str]) -> None:
+        chunks = [c[1:] for c in pieces if c[0] == "\0"]
+        whole = dict(zip(chunks, self.tokenizer.encode_batch(chunks, add_special_tokens=False), strict=True))
+        for c in pieces:
+            ids, k = whole[c[1:]].ids if c[0] == "\0" else [t.id for t in self.model.tokenize(c.translate(self.letters))], len(self.known)
             if k == len(self.starts):
                 self.starts, self.sizes = np.resize(self.starts, 2 * k), np.resize(self.sizes, 2 * k)
             while self.used + len(ids) > len(self.flat):
@@ -61,23 +70,48 @@ class ChunkEncoder:
             self.known[c], self.starts[k], self.sizes[k] = k, self.used, len(ids)
             self.used += len(ids)
 
+    def _forget(self) -> None:
+        """Keeps the pieces learned first, which are the frequent ones."""
+        self.known = dict(islice(self.known.items(), MAX_CACHED // 2))
+        self.used = int(self.starts[len(self.known) - 1] + self.sizes[len(self.known) - 1])
+
+    @staticmethod
+    def split(text: str) -> list[str]:
+        try:
+            plain = not text.encode("latin-1").translate(None, PLAIN) and "<|" not in text
+        except UnicodeEncodeError:
+            plain = False
+        if plain:
+            return PIECE.findall(text.lower())
+        return ["\0" + c for c in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if c]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, with the closing id."""
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if new := sorted({c for s in split for c in s if c not in self.known}):
-            self._learn(new)
-            if any(c not in self.known for s in split for c in s):  # the memory was full and began anew
-                self._learn(sorted({c for s in split for c in s if c not in self.known}))
-        out, get = [], self.known.__getitem__
-        for s in split:
-            at = np.fromiter(map(get, s), np.int64, len(s))
-            sizes = self.sizes[at]
-            ends = np.cumsum(sizes)
-            ids = np.empty(int(ends[-1]) + 1, np.uint32)
-            ids[:-1] = self.flat[np.arange(ends[-1]) + np.repeat(self.starts[at] - ends + sizes, sizes)]
-            ids[-1] = self.end_id
-            out.append(ids)
-        return out
+        if len(self.known) > MAX_CACHED:
+            self._forget()
+        pieces, ends = [], []
+        for t in texts:
+            pieces += self.split(t)
+            ends.append(len(pieces))
+        at = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        if len(new := np.flatnonzero(at < 0)):
+            self._learn(sorted({pieces[i] for i in new}))
+            at[new] = [self.known[pieces[i]] for i in new]
+        sizes = self.sizes[at]
+        past = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.flat[np.arange(past[-1]) + np.repeat(self.starts[at] - past[:-1], sizes)]
+        cuts = past[np.array([0, *ends])]
+        return [np.append(ids[a:b], np.uint32(self.end_id)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+_encoders: dict[str, PieceEncoder] = {}
+
+
+def encoder(path: str) -> PieceEncoder:
+    """The worker's encoder, which goes on from task to task."""
+    if path not in _encoders:
+        _encoders[path] = PieceEncoder(path)
+    return _encoders[path]
 
 
 class SumOfSquares:
@@ -174,7 +208,7 @@ def _pack(path: str, size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 36
-        encoder, rows = None, []
+        rows = []
 
         def emit(window: list[tuple]) -> None:
             nonlocal sequence
@@ -192,7 +226,6 @@ def _pack(path: str, size: int):
 
         packer = SumOfSquares(emit, size)
         for batch in batches:
-            encoder = encoder or ChunkEncoder(path)
             texts, docs = batch.column("text"), batch.column("doc_id").to_pylist()
             at = 0
             while at < len(docs):
@@ -200,7 +233,7 @@ def _pack(path: str, size: int):
                 while at + len(group) < len(docs) and chars < GROUP_CHARS:
                     group.append(texts[at + len(group)].as_py() or "")
                     chars += len(group[-1])
-                for doc, ids in zip(docs[at : at + len(group)], encoder.encode(group), strict=True):
+                for doc, ids in zip(docs[at : at + len(group)], encoder(path).encode(group), strict=True):
                     packer.add(doc, ids)
                 at += len(group)
                 if len(rows) >= 1000:

@@ -91,3 +91,17 @@ def test_many_open_windows_are_settled():
     lengths = [sum(len(x[2]) for x in w) for w in done]
     assert sum(lengths) == 300 * 60
     assert sum(x != 100 for x in lengths) <= 7
+
+
+def test_pieces_as_the_tokenizer_itself(tokenizer, monkeypatch):
+    import random
+
+    monkeypatch.setattr(packing, "MAX_CACHED", 50)
+    rng = random.Random(4)
+    signs = [chr(c) for c in packing.PLAIN] + list("'’<|>éÉß×÷ªµº²½İΣ́\x1c\x85\u3000") + ["'re", "'LL ", "<|endoftext|>", "the ", "Thing"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(1, 60))) for _ in range(1500)]
+    texts += ["".join(rng.choices([chr(c) for c in packing.PLAIN], k=200)) for _ in range(300)]
+    own = packing.PieceEncoder(vocabulary_path())
+    for at in range(0, len(texts), 50):
+        for t, ids in zip(texts[at : at + 50], own.encode(texts[at : at + 50]), strict=True):
+            assert ids.tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 2], repr(t)
