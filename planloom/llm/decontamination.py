@@ -122,8 +122,10 @@ def _judge(found: list[list[bytes]], blocks) -> Iterator[tuple[np.ndarray, list[
     sizes = np.array([len(f) for f in found], np.int64)
     starts = np.cumsum(sizes + 1) - sizes - 1
     edge, items, longest = np.zeros(int((sizes + 1).sum()) + 1, np.int32), [set() for _ in found], [[] for _ in found]
-    for block in blocks:
-        block = block.value
+    for shared in blocks:
+        block = shared.value
+        if len(blocks) > 1:  # one block at a time: the broadcast's copy in this worker is read again when needed
+            vars(shared).pop("_value", None)
         ids = np.zeros(len(edge) - 1, np.int64)
         get = block.vocabulary.get
         for s, f in zip(starts, found, strict=True):

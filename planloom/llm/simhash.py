@@ -197,13 +197,13 @@ def fingerprint_digests(docs: DataFrame) -> DataFrame:
     return near_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of each component: the row with its smallest doc_id. All columns stay.
+def drop_near_copies(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """One document of each group, by default of near_groups: the row with its smallest doc_id. All columns stay.
 
     Of rows that repeat that doc_id with the same text one stays.
     """
     last = F.lit((1 << 63) - 1)
-    keep = near_groups(docs).where(F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    keep = (near_groups(docs) if groups is None else groups).where(F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
     ids = cut(keep.groupBy(F.coalesce("doc_id", last).alias("key")).agg(F.count("*").alias("rows")))
     inner, at = numbered(docs)
     rows = inner.withColumn("key", F.coalesce(F.col(at["doc_id"]).cast("bigint"), last)).join(ids, "key")

@@ -7,7 +7,7 @@ import numpy as np
 import test_bytecnn
 import test_decontamination
 import test_linededup
-import test_simhash
+import test_similarity
 from helpers import AWKWARD, LONG, documents
 
 import corpus_pipeline
@@ -47,11 +47,8 @@ def test_against_brute_force(spark, tmp_path):
         me = last if d is None else d
         kept = [x for x in (t or "").split("\n") if min(holders.get(test_linededup.key(x), {me})) == me]
         lined.append((d, t if t is None else "\n".join(kept)))
-    groups = test_simhash.slow_components([(d, test_simhash.slow_fingerprint(t)) for d, t in lined])
-    single = {}
-    for (d, t), g in zip(lined, groups, strict=True):
-        if d == g:
-            single[d] = t
+    groups, _ = test_similarity.brute(lined)
+    single = {d: t for d, t in lined if (str(d), str(d)) in groups}
     bad = {r[0] for r in test_decontamination.brute(list(single.items()), test_decontamination.ITEMS) if r[5]}
     expected = {d: t for d, t in single.items() if d not in bad}
     assert bad
