@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +22,8 @@ OVERSAMPLE = 16
 def clean(c: Column) -> Column:
     """Text of any value; null and NaN are empty."""
     text = c.cast("string")
-    return F.when(text.isNull() | (text == "NaN"), F.lit("")).otherwise(text)
+    nan = F.typeof(c).isin("float", "double") & (text == "NaN")
+    return F.when(text.isNull() | nan, F.lit("")).otherwise(text)
 
 
 def _grams(text: Column, n: int) -> Column:
@@ -72,24 +71,24 @@ def project(weights: DataFrame, width: int, seed: int = 42) -> DataFrame:
     return weights.select("row_id", "value", F.explode(signs).alias("s")).groupBy("row_id", F.col("s.t").alias("t")).agg(F.sum(F.col("value") * F.col("s.sign")).alias("value"))
 
 
-def _tokens(text: str, analyzer: str, low: int, high: int) -> list[str]:
-    if analyzer == "char_wb":
-        text = f" {text} "
-    return [text[i : i + n] for n in range(max(low, 1), high + 1) for i in range(len(text) - n + 1)]
+def bucket_lists(c: Column, analyzer: str, low: int, high: int, buckets: int) -> Column:
+    """The buckets of a text's n-grams, made in the JVM."""
+    return F.transform(ngrams(c, analyzer, low, high), lambda t: hash_bucket(t, buckets).cast("int"))
+
 
+def _vectors(flat: np.ndarray, sizes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, value) of normalised rows; ``flat`` has the buckets of all rows, ``sizes`` of them in each."""
+    cells, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * len(idf) + flat, return_counts=True)
+    rows, buckets = np.divmod(cells, len(idf))
+    values = tf * idf[buckets]
+    norm = np.sqrt(np.bincount(rows, weights=values * values, minlength=len(sizes)))
+    return rows, buckets, values / norm[rows]
 
-def _vectors(texts: list[str], idf: np.ndarray, analyzer: str, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, bucket, value) of normalised rows."""
-    rows, buckets, values = [], [], []
-    for r, text in enumerate(texts):
-        counts = Counter(zlib.crc32(t.encode()) % len(idf) for t in _tokens(text, analyzer, low, high))
-        b = np.fromiter(counts, np.int64, len(counts))
-        v = np.fromiter(counts.values(), np.float64, len(counts)) * idf[b]
-        norm = np.sqrt((v * v).sum())
-        rows.append(np.full(len(b), r))
-        buckets.append(b)
-        values.append(v / norm if norm else v)
-    return np.concatenate([*rows, np.empty(0, int)]).astype(np.int64), np.concatenate([*buckets, np.empty(0, np.int64)]), np.concatenate([*values, np.empty(0)])
+
+def _lists(column: pa.Array, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(flat, sizes) of some rows of a list column."""
+    column = column if at is None else column.take(pa.array(at))
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _signs(seed: int, buckets: int) -> np.ndarray:
@@ -142,10 +141,13 @@ class StringEncoder:
     def width(self) -> int:
         return self.components + OVERSAMPLE
 
+    def _buckets(self, c: Column) -> Column:
+        return bucket_lists(c, self.analyzer, self.low, self.high, self.buckets)
+
     def _idf(self, df, keys, c) -> dict[int, np.ndarray]:
         fold = (F.col(FOLD) if keys else F.lit(0)).alias("k")
         rows = {r["k"]: r["count"] for r in df.select(fold).groupBy("k").count().collect()}
-        seen = df.select(fold, F.explode(F.array_distinct(F.transform(ngrams(c, self.analyzer, self.low, self.high), lambda t: hash_bucket(t, self.buckets)))).alias("b"))
+        seen = df.select(fold, F.explode(F.array_distinct(self._buckets(c))).alias("b"))
         out = {k: np.full(self.buckets, np.log(1.0 + n) + 1) for k, n in rows.items()}
         for r in seen.groupBy("k", "b").count().toLocalIterator():  # at most one row for each bucket and fold
             out[r["k"]][r["b"]] = np.log((1 + rows[r["k"]]) / (1 + r["count"])) + 1
@@ -160,16 +162,16 @@ class StringEncoder:
             def grams(batches: Iterator[pa.RecordBatch], idf=idf) -> Iterator[pa.RecordBatch]:
                 signs, total = _signs(self.seed, self.buckets), {}
                 for b in batches:
-                    folds, texts = b.column("k").to_numpy(), b.column("t").to_pylist()
+                    folds = b.column("k").to_numpy()
                     for k in np.unique(folds):
-                        own = [t for t, f in zip(texts, folds, strict=True) if f == k]
-                        y = _sketch(_vectors(own, idf.value[int(k)], self.analyzer, self.low, self.high), len(own), signs, w)
-                        part = np.concatenate([(y.T @ y).ravel(), y.sum(0), [len(own)]])
+                        flat, sizes = _lists(b.column("t"), np.flatnonzero(folds == k))
+                        y = _sketch(_vectors(flat, sizes, idf.value[int(k)]), len(sizes), signs, w)
+                        part = np.concatenate([(y.T @ y).ravel(), y.sum(0), [len(sizes)]])
                         total[int(k)] = total.get(int(k), 0) + part
                 for k, v in total.items():
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), k, np.int32)), pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v)], ["k", "i", "v"])
 
-            long = df.select((F.col(FOLD) if keys else F.lit(0)).cast("int").alias("k"), clean(c).alias("t")).mapInArrow(grams, "k int, i int, v double")
+            long = df.select((F.col(FOLD) if keys else F.lit(0)).cast("int").alias("k"), self._buckets(c).alias("t")).mapInArrow(grams, "k int, i int, v double")
             sums: dict[int, np.ndarray] = {}
             for r in long.groupBy("k", "i").agg(F.sum("v").alias("v")).collect():  # width squared, for each fold
                 sums.setdefault(r["k"], np.zeros(w * w + w + 1))[r["i"]] = r["v"]
@@ -183,24 +185,22 @@ class StringEncoder:
         return state
 
     def _encoder(self, idf, fitted):
-        def encode(text: pd.Series, fold: pd.Series) -> pd.Series:
-            signs, values = _signs(self.seed, self.buckets), [None] * len(text)
-            for k in fold.unique():
-                at = np.flatnonzero(fold.to_numpy() == k)
-                if int(k) in fitted:
-                    z = _sketch(_vectors(list(text.iloc[at]), idf.value[int(k)], self.analyzer, self.low, self.high), len(at), signs, self.width) @ fitted[int(k)]
-                else:  # no training rows
-                    z = np.zeros((len(at), self.components))
-                for i, v in zip(at, z, strict=True):
-                    values[i] = v
-            return pd.Series(values)
+        def encode(lists: pd.Series, fold: pd.Series) -> pd.Series:
+            signs, folds, out = _signs(self.seed, self.buckets), fold.to_numpy(), np.zeros((len(lists), self.components))
+            for k in np.unique(folds):
+                at = np.flatnonzero(folds == k)
+                if int(k) in fitted:  # else there are no training rows
+                    own = [lists.iloc[i] for i in at]
+                    flat, sizes = np.concatenate([*own, np.empty(0, np.int64)]).astype(np.int64), np.fromiter(map(len, own), np.int64, len(own))
+                    out[at] = _sketch(_vectors(flat, sizes, idf.value[int(k)]), len(at), signs, self.width) @ fitted[int(k)]
+            return pd.Series(list(out))
 
         return F.pandas_udf(encode, "array<double>")
 
     def transform(self, state, x):
         rows, out, fold = x.rows, {}, F.col(FOLD) if x.rows.split else F.lit(0)
         for (n, c), (idf, fitted) in zip(x.cols.items(), state, strict=True):
-            name, encoded = fresh("e"), self._encoder(idf, fitted)(clean(c), fold)
+            name, encoded = fresh("e"), self._encoder(idf, fitted)(self._buckets(c), fold)
             rows = rows.extended(lambda df, name=name, encoded=encoded: df.withColumn(name, encoded))
             out |= {f"{n}_{i}": F.element_at(F.col(name), i + 1) for i in range(self.components)}
         return Frame(rows, out)
@@ -216,7 +216,7 @@ def truncated_svd(df: DataFrame, text: str, k: int, features: int = 1 << 12, rou
     c, sc = F.col(text), df.sparkSession.sparkContext
     idf = sc.broadcast(StringEncoder(1, analyzer, low, high, features)._idf(df, [], c).get(0, np.ones(features)))
     width = min(k + OVERSAMPLE, features)
-    texts = df.select(clean(c).alias("t"))
+    texts = df.select(bucket_lists(c, analyzer, low, high, features).alias("t"))
 
     def times(q: np.ndarray) -> np.ndarray:
         shared = sc.broadcast(q)
@@ -224,7 +224,7 @@ def truncated_svd(df: DataFrame, text: str, k: int, features: int = 1 << 12, rou
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(q.shape)
             for b in batches:
-                rows, buckets, values = _vectors(b.column("t").to_pylist(), idf.value, analyzer, low, high)
+                rows, buckets, values = _vectors(*_lists(b.column("t")), idf.value)
                 y = np.zeros((b.num_rows, q.shape[1]))
                 np.add.at(y, rows, values[:, None] * shared.value[buckets])
                 np.add.at(total, buckets, values[:, None] * y[rows])

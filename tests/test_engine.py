@@ -1,5 +1,7 @@
 """Operators on tiny tables."""
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -248,6 +250,21 @@ def test_one_hot(spark):
         value(spark, pl.table(df).fit_apply(pl.OneHotEncoder(drop="first")))
 
 
+def tokens(s, analyzer, low, high):
+    s = f" {s} " if analyzer == "char_wb" else s
+    return [s[i : i + n] for n in range(low, high + 1) for i in range(len(s) - n + 1)]
+
+
+def tfidf(strings, features):
+    """Dense rows of length one."""
+    counts = np.zeros((len(strings), features))
+    for i, s in enumerate(strings):
+        for t in tokens(s or "", "char_wb", 3, 4):
+            counts[i, zlib.crc32(t.encode()) % features] += 1
+    m = counts * (np.log((1 + len(strings)) / (1 + (counts > 0).sum(0))) + 1)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
 STRINGS = ["Foo bar baz", "bar   baz!!!", "", None, "lorem ipsum dolor sit amet", "BaZ foo BAR", "foo", "test string encoding", "another test case"]
 
 
@@ -256,7 +273,7 @@ def test_tokens_are_the_same_on_both_sides(spark):
     for analyzer, low, high in (("char", 2, 3), ("char", 3, 5), ("char_wb", 3, 4), ("char", 1, 8)):
         got = {r["i"]: list(r["t"]) for r in df.select("i", text.ngrams(F.col("s"), analyzer, low, high).alias("t")).collect()}
         for i, s in enumerate([*STRINGS, "héy 你好", "ab"]):
-            assert got[i] == text._tokens(s or "", analyzer, low, high)
+            assert got[i] == tokens(s or "", analyzer, low, high)
 
 
 def test_string_encoder_keeps_the_geometry(spark):
@@ -266,8 +283,8 @@ def test_string_encoder_keeps_the_geometry(spark):
     state = encoder.fit(f)
     z = np.array([list(r) for r in encoder.transform(state, f).df().collect()])
     assert z.shape == (9, 9)
-    idf, fitted = state[0]
-    y = text._sketch(text._vectors([s or "" for s in STRINGS], idf.value[0], "char_wb", 3, 4), 9, text._signs(42, 1 << 12), encoder.width)
+    bits = text._signs(42, 1 << 12)
+    y = tfidf(STRINGS, 1 << 12) @ (1.0 - 2.0 * ((bits[:, None] >> np.arange(encoder.width, dtype=np.uint64)) & np.uint64(1)))
     own = y @ text.top_directions(y.T @ y, 9)
     assert np.allclose(z, own / np.sqrt(own.var(0).sum()), atol=1e-9)
     assert np.allclose(own @ own.T, y @ y.T, atol=1e-8)  # nine rows have rank nine at most
@@ -292,12 +309,7 @@ def test_truncated_svd_against_numpy(spark):
     texts = [f"text {i % 7} number {i % 11} of some {i % 3}" for i in range(60)]
     df = spark.createDataFrame([(t,) for t in texts], "s string")
     sigma, right = text.truncated_svd(df, "s", 5, features=256)
-    counts = np.zeros((60, 256))
-    for i, t in enumerate(texts):
-        for token in text._tokens(t, "char_wb", 3, 4):
-            counts[i, __import__("zlib").crc32(token.encode()) % 256] += 1
-    m = counts * (np.log(61 / (1 + (counts > 0).sum(0))) + 1)
-    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    m = tfidf(texts, 256)
     u, s, _ = np.linalg.svd(m)
     assert np.allclose(sigma, s[:5], rtol=1e-4)
     assert np.allclose(np.linalg.norm(m @ right, axis=0), s[:5], rtol=1e-4)
@@ -336,6 +348,10 @@ def test_preview_and_choice_before_a_numeric_node(spark, days):
     t = pl.table(days).subsample(4)
     assert value(spark, t).count() == 10
     assert value(spark, t, preview=True).count() == 4
+    assert t.preview(spark, 2).count() == 2
+    assert t.run(spark).count() == 10
+    assert "subsample" in t.to_dot()
+    assert t[["x"]].mark_x().fit_apply(pl.DummyRegressor(), y=t["y"].mark_y()).grid_search(spark, cv=2).results.count() == 1
     plan = np.log(pl.choose_from({"a": t["x"], "b": t["y"]}, name="c"))
     assert len(pl.evaluate(spark, plan)) == 2
 
