@@ -17,7 +17,19 @@ FEW = 12
 
 
 def moments(x, y) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
-    """(rows, means, covariances) of the features and, last, y, in the complete training rows of each fold."""
+    """(rows, means, covariances) of the features and, last, y, in the complete training rows of each fold.
+
+    Models of the same table share one pass: the result stays with the table's rows.
+    """
+    columns = [*x.cols.values(), y.rows, y.col]
+    kept = vars(x.rows).setdefault("_moments", {})
+    key = tuple(map(id, columns))
+    if key not in kept:
+        kept[key] = (columns, _moments(x, y))  # the columns stay, so that their ids do
+    return kept[key][1]
+
+
+def _moments(x, y) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
     rows = x.rows.with_all(y.rows)
     cols = [c.cast("double") for c in (*x.cols.values(), y.col)]
     p, whole = len(cols), F.lit(True)

@@ -228,9 +228,9 @@ def truncated_svd(df: DataFrame, text: str, k: int, features: int = 1 << 12, rou
                 y = np.zeros((b.num_rows, q.shape[1]))
                 np.add.at(y, rows, values[:, None] * shared.value[buckets])
                 np.add.at(total, buckets, values[:, None] * y[rows])
-            at = np.flatnonzero(total.any(1))
-            for i in at:
-                yield pa.RecordBatch.from_arrays([pa.array([int(i)], pa.int32()), pa.array([total[i]], pa.list_(pa.float64()))], ["i", "v"])
+            at, n = np.flatnonzero(total.any(1)), total.shape[1]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(at) + 1) * n, n), pa.int32()), pa.array(total[at].ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), lists], ["i", "v"])
 
         out = np.zeros(q.shape)
         summed = texts.mapInArrow(run, "i int, v array<double>").select("i", F.posexplode("v").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
