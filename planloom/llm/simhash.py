@@ -16,7 +16,7 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planloom.llm.common import cut, numbered, stored
@@ -56,12 +56,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fps = np.fromiter((fingerprint(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(fps.view(np.int64))], ["doc_id", "digest", "fp"])
+
+
+def text_digest(text: Column) -> Column:
+    """128 bits that tell texts apart; null is as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row; without words fp is 0."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id bigint, fp bigint")
+    """(doc_id, digest, fp) of every row; without words fp is 0."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_digest(F.col("text")).alias("digest"), "text").mapInArrow(_fingerprints, "doc_id bigint, digest binary, fp bigint")
 
 
 def merge(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -177,7 +182,7 @@ def near_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
 
 
 def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp, component_id of every row; component_id is the smallest doc_id that links reach.
+    """doc_id, digest, fp, root, component_id of every row; component_id is the smallest doc_id that links reach, root the smallest fp.
 
     Rows without words, null and empty texts among them, have fingerprint zero and are linked like any other. A null doc_id
     is greater than all others, and is a component's id only if there is no other. Repeated rows are in one component; an
@@ -188,8 +193,8 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     roots = connected_components(near_links(prints)).withColumnRenamed("node", "fp")
     rooted = stored(least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
     ids = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
-    labelled = cut(rooted.join(ids, "root").select("fp", "component_id"))
-    return prints.join(labelled, "fp").select("doc_id", "fp", "component_id")
+    labelled = cut(rooted.join(ids, "root").select("fp", "root", "component_id"))
+    return prints.join(labelled, "fp").select("doc_id", "digest", "fp", "root", "component_id")
 
 
 def fingerprint_digests(docs: DataFrame) -> DataFrame:
