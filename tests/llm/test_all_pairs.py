@@ -6,7 +6,7 @@ import pytest
 from helpers import AWKWARD, documents
 from test_similarity import corpus, edited
 
-from planloom.llm import similarity
+from planloom.llm import simhash, similarity
 
 
 def all_pairs(rows):
@@ -39,3 +39,11 @@ def test_members_link_groups(spark, tile, monkeypatch):
             rows.append((5000 + 10 * g + k, " ".join(words)))
             words = edited(rng, words, 0.02)
     assert groups(spark, rows) == all_pairs(rows)
+
+
+def test_equal_fingerprints_are_verified(spark):
+    """A much repeated line decides the fingerprint, but texts that share only it are different."""
+    rng, line = random.Random(1), "same menu line of every page here " * 60
+    rows = [(i, line + " ".join(f"y{rng.randrange(10**6)}" for _ in range(60))) for i in range(12)]
+    assert len({simhash.fingerprint(t.encode()) for _, t in rows}) < len(rows)
+    assert groups(spark, rows) == all_pairs(rows) == sorted((str(i), str(i)) for i in range(12))
