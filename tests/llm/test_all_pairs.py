@@ -47,3 +47,15 @@ def test_equal_fingerprints_are_verified(spark):
     rows = [(i, line + " ".join(f"y{rng.randrange(10**6)}" for _ in range(60))) for i in range(12)]
     assert len({simhash.fingerprint(t.encode()) for _, t in rows}) < len(rows)
     assert groups(spark, rows) == all_pairs(rows) == sorted((str(i), str(i)) for i in range(12))
+
+
+def test_no_distance_of_fingerprints_loses_a_pair(spark):
+    """Equal shingle sets with other numbers of repeats, and a tail cut off: copies, at any distance of fingerprints."""
+    rng, rows = random.Random(2), []
+    for i in range(40):
+        words = [f"z{rng.randrange(10**6)}" for _ in range(100)]
+        head, tail = " ".join(words[:5]), " ".join(words[80:] + words[80:])
+        rows += [(10 * i, " ".join([head] * 2 + words)), (10 * i + 1, " ".join([head] * 60 + words)), (10 * i + 5, tail * 2), (10 * i + 6, " ".join(words[:84]))]
+    far = [(simhash.fingerprint(a.encode()) ^ simhash.fingerprint(b.encode())).bit_count() for (_, a), (_, b) in zip(rows[::4], rows[1::4], strict=True)]
+    assert max(far) > 13
+    assert groups(spark, rows) == all_pairs(rows)
