@@ -205,12 +205,14 @@ def fingerprint_digests(docs: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """One document of each group, by default of near_groups: the row with its smallest doc_id. All columns stay.
 
-    Of rows that repeat that doc_id with the same text one stays.
+    A group is told by its ``root`` and a row by doc_id and text, so groups whose smallest doc_id is null or repeated are
+    kept apart. Of a group's rows that repeat that doc_id one stays.
     """
-    last = F.lit((1 << 63) - 1)
-    keep = (near_groups(docs) if groups is None else groups).where(F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
-    ids = cut(keep.groupBy(F.coalesce("doc_id", last).alias("key")).agg(F.count("*").alias("rows")))
+    groups = near_groups(docs) if groups is None else groups
+    cells = groups.groupBy("root", F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("key"), "digest").agg(F.count("*").alias("rows"))
+    keep = cut(cells.groupBy("root").agg(F.min(F.struct("none", "key", "digest", "rows")).alias("m")).select("m.*"))
     inner, at = numbered(docs)
-    rows = inner.withColumn("key", F.coalesce(F.col(at["doc_id"]).cast("bigint"), last)).join(ids, "key")
-    single, several = rows.where("rows = 1"), rows.where("rows > 1").dropDuplicates(["key"])
+    doc_id = F.col(at["doc_id"]).cast("bigint")
+    rows = inner.withColumn("none", doc_id.isNull()).withColumn("key", F.coalesce(doc_id, F.lit(0))).withColumn("digest", text_digest(F.col(at["text"]))).join(keep, ["none", "key", "digest"])
+    single, several = rows.where("rows = 1"), rows.where("rows > 1").dropDuplicates(["none", "key", "digest"])
     return single.unionByName(several).select(*inner.columns).toDF(*docs.columns)

@@ -59,3 +59,15 @@ def test_no_distance_of_fingerprints_loses_a_pair(spark):
     far = [(simhash.fingerprint(a.encode()) ^ simhash.fingerprint(b.encode())).bit_count() for (_, a), (_, b) in zip(rows[::4], rows[1::4], strict=True)]
     assert max(far) > 13
     assert groups(spark, rows) == all_pairs(rows)
+
+
+def test_groups_without_or_with_repeated_ids_stay(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"n{rng.randrange(10**6)}" for _ in range(50)) for _ in range(9)]
+    rows = [(None, t) for t in texts[:5]] + [(None, texts[0])] + [(7, t) for t in texts[5:]] + [(7, texts[5]), (8, texts[5])]
+    docs = documents(spark, [*rows, *AWKWARD[:3]])
+    expected = sorted([*texts, AWKWARD[0][1], AWKWARD[1][1], ""])
+    for found in (None, similarity.similar_groups(docs)):
+        kept = simhash.drop_near_copies(docs, found)
+        assert kept.schema == docs.schema
+        assert sorted(r.text or "" for r in kept.collect()) == expected
