@@ -2,8 +2,9 @@
 
 Hosts are nodes. Absolute links in the pages, and a listed host's nearest listed ancestor domain, are edges; their weight is
 the number of pages that have them. Personalised PageRank starts from the hosts with allowed pages and follows the edges;
-distrust starts from those with blocked pages and goes against them. A host whose distrust exceeds its trust by the
-threshold is blocked. Hosts, edges and ranks stay in tables; each round is a join and a sum.
+distrust starts from those with blocked pages and goes against them, until no host's rank changes by more than a share of
+itself. A host whose distrust exceeds its trust by the threshold is blocked. Hosts, edges and ranks stay in tables; each
+round is a join and a sum.
 """
 
 from __future__ import annotations
@@ -16,10 +17,15 @@ from pyspark.sql import functions as F
 from planloom.llm.common import cut, stored
 
 DAMPING = 0.85
+#: Spreading ends when a round adds no more than this share to any host's rank.
+TOLERANCE = 1e-6
+#: Ranks within this share are equal, so that neither the end of spreading nor the order of a sum can decide.
+MARGIN = 1e-5
+#: Rounds of the SQL, which has a fixed number.
 ROUNDS = 8
 #: Distrust may exceed trust by this factor.
 THRESHOLD = 1.0
-#: Decimals in which ranks are compared, so that the order of a sum can't decide.
+#: Decimals of the SQL's ranks.
 DIGITS = 12
 LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s>]+)"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -68,18 +74,24 @@ def host_edges(urls: DataFrame) -> DataFrame:
     return links.unionByName(both).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, kind, rank) after ``rounds``; seeds: (host, kind, seed) with kind trust or distrust, summing to 1 in each."""
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, kind, rank) of all hosts that seeds reach; seeds: (host, kind, seed) with kind trust or distrust, summing to 1 in each.
+
+    A rank is a sum over the lengths of walks. A host's first term is far above the tolerance, so spreading goes on until no
+    host is reached for the first time.
+    """
     one = edges.select("src", "dst", "w", F.lit("trust").alias("kind")).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w", F.lit("distrust").alias("kind")))
     out = one.groupBy("src", "kind").agg(F.sum("w").alias("all"))
     steps = cut(one.join(out, ["src", "kind"]).select("src", "dst", "kind", (F.col("w") / F.col("all")).alias("share")))
-    ranks = seeds.select("host", "kind", F.col("seed").alias("rank"))
     if steps.isEmpty():  # nothing to follow
-        return ranks
-    for _ in range(rounds):
-        moved = ranks.withColumnRenamed("host", "src").join(steps, ["src", "kind"]).select(F.col("dst").alias("host"), "kind", (damping * F.col("rank") * F.col("share")).alias("rank"))
-        ranks = cut(moved.unionByName(seeds.select("host", "kind", ((1 - damping) * F.col("seed")).alias("rank"))).groupBy("host", "kind").agg(F.sum("rank").alias("rank")))
-    return ranks
+        return seeds.select("host", "kind", F.col("seed").alias("rank"))
+    state = seeds.select("host", "kind", F.col("seed").alias("term"), ((1 - damping) * F.col("seed")).alias("rank"))
+    while True:
+        moved = state.where("term > 0").withColumnRenamed("host", "src").join(steps, ["src", "kind"]).select(F.col("dst").alias("host"), "kind", (damping * F.col("term") * F.col("share")).alias("term"))
+        both = state.select("host", "kind", F.lit(0.0).alias("term"), "rank").unionByName(moved.withColumn("rank", (1 - damping) * F.col("term")))
+        state = cut(both.groupBy("host", "kind").agg(F.sum("term").alias("term"), F.sum("rank").alias("rank")))
+        if (state.agg(F.max(F.when(F.col("rank") > 0, F.col("term") / F.col("rank"))).alias("most")).first()["most"] or 0.0) <= tolerance:
+            return state.select("host", "kind", "rank")
 
 
 def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = THRESHOLD) -> DataFrame:
@@ -97,8 +109,8 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: flo
     total = counted.groupBy("kind").agg(F.sum("n").alias("total"))  # two rows
     seeds = cut(counted.join(F.broadcast(total), "kind").select("host", "kind", (F.col("n") / F.col("total")).alias("seed")))
     ranks = propagate(seeds, edges)
-    of = lambda k: F.round(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)), DIGITS).alias(k)
+    of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)).alias(k)
     scored = cut(ranks.groupBy("host").agg(of("trust"), of("distrust")))
     joined = light.join(scored, "host", "left").select("page_id", "host", "path", "rule", "verdict", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
-    spread = F.when(F.col("distrust") > threshold * F.col("trust"), "block").otherwise("allow")
+    spread = F.when(F.col("distrust") > (1 + MARGIN) * threshold * F.col("trust"), "block").otherwise("allow")
     return joined.withColumn("verdict", F.coalesce("verdict", spread))
