@@ -90,7 +90,9 @@ def rules() -> list[Rule]:
         out.append(Rule(f"bsd-{n}-clause", "bsd", f"(?:bsd (?:{n}|{word}) clause(?: licen[sc]e)?|(?:{n}|{word}) clause bsd(?: licen[sc]e)?)"))
     for label, keyword, phrase in (
         ("bsd", "bsd", "bsd(?: style)? licen[sc]ed?"),
-        ("mit", "mit ", "(?:the )?mit licen[sc]e|licen[sc]ed under (?:the )?mit|x11 licen[sc]e|expat licen[sc]e"),
+        ("mit", "mit ", "(?:the )?mit licen[sc]e|licen[sc]ed under (?:the )?mit"),
+        ("mit", "x11 ", "x11 licen[sc]e"),
+        ("mit", "expat ", "expat licen[sc]e"),
         ("mit", "permission is hereby", "permission is hereby granted free of charge to any person obtaining a copy"),
         ("isc", "isc ", "isc licen[sc]e"),
         ("isc", "permission to use", "permission to use copy modify and or distribute this software for any purpose"),
