@@ -5,8 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Rows and bytes of an Arrow batch: what a worker holds at a time follows these, not the partition. A longer row is a batch.
+BATCH_ROWS = 2048
+BATCH_BYTES = 4 << 20
+#: Bits of the bitmap that sieve() broadcasts: 2 MB as 2 ** 18 rows of 64.
+SIEVE_BITS = 1 << 24
 
 _roots: set[str] = set()
 
@@ -21,8 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
         where = spark.sparkContext.getCheckpointDir()
-    if not where:  # a local session, as in tests
-        where = tempfile.mkdtemp(prefix="planloom-")
+    if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="planloom-")  # driver and executors are one process
         spark.sparkContext.setCheckpointDir(where)
     return where
 
@@ -56,3 +64,26 @@ def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """``df`` with its columns named c0, c1, ..., which can't clash with an operator's own, and the new name of each."""
     names = {name: f"c{i}" for i, name in enumerate(df.columns)}
     return df.toDF(*names.values()), names
+
+
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` over batches of bounded size. The bound is a setting of the session, lowered if it is higher."""
+    conf = df.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(conf.get(name)).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(name, str(most))
+    return df.mapInArrow(run, schema)
+
+
+def sieve(rows: DataFrame, key: list[str], wanted: DataFrame, inside: bool = True, bits: int = SIEVE_BITS) -> DataFrame:
+    """``rows`` whose ``key`` may be one of ``wanted``, or those whose key certainly is none of them; nothing is shuffled.
+
+    A bitmap of ``bits`` hashed keys is broadcast, whatever the size of ``wanted``; the fuller it is, the more rows may be
+    wanted, so a join must decide about these.
+    """
+    place = F.pmod(F.xxhash64(*key), F.lit(bits))
+    marks = wanted.select(place.alias("_place")).groupBy(F.shiftright("_place", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_place & 63 as int))")).alias("_bits"))
+    found = rows.withColumn("_place", place).withColumn("_word", F.shiftright("_place", 6)).join(F.broadcast(marks), "_word", "left")
+    hit: Column = F.expr("_bits is not null and (shiftrightunsigned(_bits, cast(_place & 63 as int)) & 1L) = 1L")
+    return found.where(hit if inside else ~hit).select(*rows.columns)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planloom.llm.common import cut, numbered, stored
+from planloom.llm.common import cut, in_batches, numbered, sieve, stored
 from planloom.llm.components import connected_components
 
 SHINGLE = 3
@@ -66,7 +66,8 @@ def text_digest(text: Column) -> Column:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, fp) of every row; without words fp is 0."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_digest(F.col("text")).alias("digest"), "text").mapInArrow(_fingerprints, "doc_id bigint, digest binary, fp bigint")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_digest(F.col("text")).alias("digest"), "text")
+    return in_batches(rows, _fingerprints, "doc_id bigint, digest binary, fp bigint")
 
 
 def merge(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -178,7 +179,7 @@ def near_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     moved = moved.where(F.forall("to", lambda p: p.between(0, width))).select("fp", bucket([F.col("to")[k] for k in range(LANES)]).alias("bucket"))
     near = moved.join(known, "bucket").select(F.explode(F.expr("sequence(first, first + tiles - 1)")).alias("tile"), F.lit(True).alias("guest"), "fp")
     dealt = own.unionByName(same).unionByName(near).repartition("tile").sortWithinPartitions("tile", "guest")
-    return dealt.mapInArrow(_compare(radius), "a bigint, b bigint")
+    return in_batches(dealt, _compare(radius), "a bigint, b bigint")
 
 
 def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -210,9 +211,14 @@ def drop_near_copies(docs: DataFrame, groups: DataFrame | None = None) -> DataFr
     """
     groups = near_groups(docs) if groups is None else groups
     cells = groups.groupBy("root", F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("key"), "digest").agg(F.count("*").alias("rows"))
-    keep = cut(cells.groupBy("root").agg(F.min(F.struct("none", "key", "digest", "rows")).alias("m")).select("m.*"))
+    cells = stored(cells, "cells")
+    keep = cells.groupBy("root").agg(F.min(F.struct("none", "key", "digest", "rows")).alias("m")).select("m.*")
+    key = ["none", "key", "digest"]
+    lost = stored(cells.join(keep.select(*key, F.lit(True).alias("kept")), key, "left").where("kept is null or rows > 1").select(*key, "kept"), "lost")
     inner, at = numbered(docs)
     doc_id = F.col(at["doc_id"]).cast("bigint")
-    rows = inner.withColumn("none", doc_id.isNull()).withColumn("key", F.coalesce(doc_id, F.lit(0))).withColumn("digest", text_digest(F.col(at["text"]))).join(keep, ["none", "key", "digest"])
-    single, several = rows.where("rows = 1"), rows.where("rows > 1").dropDuplicates(["none", "key", "digest"])
-    return single.unionByName(several).select(*inner.columns).toDF(*docs.columns)
+    rows = inner.withColumn("none", doc_id.isNull()).withColumn("key", F.coalesce(doc_id, F.lit(0))).withColumn("digest", text_digest(F.col(at["text"])))
+    # most rows are neither lost nor repeated and stay where they are
+    judged = sieve(rows, key, lost).join(lost, key, "left_anti")
+    several = sieve(rows, key, lost).join(lost.where("kept").select(*key), key, "left_semi").dropDuplicates(key)
+    return sieve(rows, key, lost, inside=False).unionByName(judged).unionByName(several).select(*inner.columns).toDF(*docs.columns)
