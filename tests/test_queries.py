@@ -3,7 +3,6 @@
 import math
 
 import pytest
-from conftest import DATA
 
 from planloom import queries
 
@@ -17,8 +16,8 @@ def norm(v):
 
 
 @pytest.mark.parametrize("name", list(queries.QUERIES))
-def test_query(spark, duck, name):
-    df = queries.QUERIES[name](spark, DATA)
+def test_query(spark, duck, data, name):
+    df = queries.QUERIES[name](spark, data)
     found = df.collect()
     assert found
     if name in queries.ORACLES:
