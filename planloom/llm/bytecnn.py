@@ -16,7 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of each label in the training sample, and the longest text in it.
+from planloom.llm.common import in_batches
+
+#: Texts of each label in the training sample, and the bytes of one; of longer texts each such segment is a text.
 SAMPLE_ROWS = 1024
 SAMPLE_BYTES = 1 << 16
 ACCEPT = 0.7
@@ -181,28 +183,34 @@ def held_out(doc_id):
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, longest: int = SAMPLE_BYTES) -> Network | None:
-    """A network trained on at most ``rows`` rows of each label, or nothing if a label has none.
+    """A network trained on at most ``rows`` texts of each label, or nothing if a label has none.
 
-    The sample are the rows with the smallest hashes of doc_id. Of a doc_id with several labels the smallest counts, and of
-    repeated documents the smallest text.
+    The sample are the texts with the smallest hashes of doc_id. A text of more than ``longest`` bytes counts as its segments
+    of so many, each by a hash of its own. Of a doc_id with several labels the smallest counts, and of repeated documents the
+    smallest text.
     """
     usable = labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     total = {r["quality"]: r["count"] for r in usable.groupBy("quality").count().collect()}
-    parts = [usable.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for q in (0, 1)]
-    chosen = F.broadcast(parts[0].unionByName(parts[1]))  # twice ``rows`` at most
-    sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= longest).join(chosen, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
-    found = sorted(sample.collect(), key=lambda r: r["doc_id"])
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    sizes = texts.select("doc_id", F.octet_length("text").alias("size")).groupBy("doc_id").agg(F.max("size").alias("size"))
+    segments = usable.join(sizes, "doc_id").withColumn("segment", F.explode(F.expr(f"sequence(0, greatest(size - 1, 0) div {longest})")))
+    order = F.when(F.col("segment") == 0, F.xxhash64("doc_id")).otherwise(F.xxhash64("doc_id", "segment"))
+    parts = [segments.where(F.col("quality") == q).orderBy(order, "doc_id", "segment").limit(rows) for q in (0, 1)]
+    chosen = F.broadcast(parts[0].unionByName(parts[1]).select("doc_id", "quality", "segment"))  # twice ``rows`` at most
+    own = F.expr(f"substring(text, cast(segment * {longest} + 1 as int), {longest})")
+    sample = texts.join(chosen, "doc_id").select("doc_id", "quality", "segment", own.alias("text")).groupBy("doc_id", "quality", "segment").agg(F.min("text").alias("text"))
+    found = sorted(sample.collect(), key=lambda r: (r["doc_id"], r["segment"]))
     y = np.array([r["quality"] for r in found], np.float32)
     if not (y == 0).any() or not (y == 1).any():
         return None
     prior = np.log(total[1] / total[0]) - np.log((y == 1).sum() / (y == 0).sum())
-    return train([r["text"].encode() for r in found], y, float(prior))
+    return train([bytes(r["text"]) for r in found], y, float(prior))
 
 
 def _score(net: Network | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            texts = [t.as_py() or b"" for t in batch.column("text").cast(pa.binary())]
             scores = net.scores(texts) if net and texts else np.full(len(texts), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"])
 
@@ -226,10 +234,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) ->
     scored each. If a label is missing, all scores are 0.5. An empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    scored = rows.mapInArrow(_score(fit(docs, labels)), "doc_id bigint, held_out boolean, score double")
+    scored = in_batches(rows, _score(fit(docs, labels)), "doc_id bigint, held_out boolean, score double")
     return scored.withColumn("predicted", F.when(F.col("score") >= accept, 1).otherwise(0))
 
 
 def keep_accepted(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """``docs`` without the rows that score below ``accept``; without labels of both kinds all stay."""
-    return docs.mapInArrow(_accept(fit(docs, labels), accept), docs.schema)
+    return in_batches(docs, _accept(fit(docs, labels), accept), docs.schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,14 +67,32 @@ def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*names.values()), names
 
 
-def in_batches(df: DataFrame, run, schema) -> DataFrame:
-    """``df.mapInArrow(run, schema)`` over batches of bounded size. The bound is a setting of the session, lowered if it is higher."""
+def in_batches(df: DataFrame, run, schema, together: int = 0) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` over batches of bounded size. The bound is a setting of the session, lowered if it is higher.
+
+    With ``together`` narrow batches are put together until they have so many rows.
+    """
     conf = df.sparkSession.conf
     for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         now = str(conf.get(name)).lower().removesuffix("b")
         if not now.isdigit() or not 0 < int(now) <= most:
             conf.set(name, str(most))
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(_together(run, together) if together else run, schema)
+
+
+def _together(run, rows: int):
+    def joined(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= rows:
+                yield pa.concat_batches(held)
+                held, n = [], 0
+        if held:
+            yield pa.concat_batches(held)
+
+    return lambda batches: run(joined(batches))
 
 
 def sieve(rows: DataFrame, key: list[str], wanted: DataFrame, inside: bool = True, bits: int = SIEVE_BITS) -> DataFrame:

@@ -1,10 +1,10 @@
 """Benchmark decontamination by suffix arrays of the training text.
 
-Every shard (a run of documents) is turned into one array of word numbers, and the suffixes that can begin a match are
-sorted into a suffix array: those whose first three words begin a test suffix. Every test suffix is then found by binary
-search; equal neighbours give all places of its window, and places in a row along a diagonal give the longest verbatim
-matches with their locations. Words are numbered by the test's own vocabulary, exactly. The test set reaches the tasks in
-blocks of a fixed number of words, one at a time; training text is never shuffled.
+Every shard (a run of documents) is turned into one array of word numbers, and all its suffixes into a suffix array, sorted
+by their first words. Every test suffix is then found by binary search; the intervals that a test suffix falls in are
+sorted by the whole window, and searched again. Equal neighbours give all places of a window, and places in a row along a
+diagonal give the longest verbatim matches with their locations. Words are numbered by the test's own vocabulary, exactly.
+The test set reaches the tasks in blocks of a fixed number of words, one at a time; training text is never shuffled.
 """
 
 from __future__ import annotations
@@ -18,14 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from planloom.llm.common import in_batches
+
 #: Words of a window.
 WINDOW = 13
-#: Words by which suffixes are chosen for the array.
+#: Words by which all suffixes are sorted first; fewer if their numbers would not fit 63 bits.
 LEAD = 3
 #: Words of the test set that a task holds at a time.
 BLOCK_WORDS = 1 << 20
-#: Bytes of training text in one suffix array; a longer document has an array of its own.
-SHARD_BYTES = 1 << 23
+#: Bytes of training text in one suffix array, within an Arrow batch; a longer document has an array of its own.
+SHARD_BYTES = 1 << 22
 #: Digits, A-Z as a-z, a-z and all non-ASCII bytes are words; every other byte separates.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -56,23 +58,22 @@ class TestBlock:
         for k, w in enumerate(self.windows):
             padded[:, k, : len(w)] = np.array(w) + 1
         self.low, self.high = (_keys(x) for x in padded)
-        base = np.int64(len(self.vocabulary) + 1)
-        self.leads = [np.unique([_number(w[:n], base) for w in self.windows if min(len(w), LEAD) == n]).astype(np.int64) for n in range(1, LEAD + 1)]
-        self.base = base
+        self.base = len(self.vocabulary) + 1
+        self.lead = min(LEAD, 63 // self.base.bit_length())
+        # the first and last number of the suffixes that begin as a window does
+        self.leads = np.array(sorted({_interval(w[: self.lead], self.base, self.lead) for w in self.windows}), np.int64).reshape(-1, 2)
 
     def suffixes(self, ids: np.ndarray) -> np.ndarray:
-        """Places that can begin a window; ``ids`` are the word numbers from 1, and 0 for all other words and for ends."""
-        found, value, fine = np.zeros(len(ids), bool), np.zeros(len(ids), np.int64), np.ones(len(ids), bool)
-        for n, leads in enumerate(self.leads):
-            later = np.zeros(len(ids), np.int64)
-            later[: len(ids) - n] = ids[n:]
-            fine &= later > 0
-            value = value * self.base + later
-            if len(leads):
-                where = np.flatnonzero(fine & ~found)
-                at = np.minimum(np.searchsorted(leads, value[where]), len(leads) - 1)
-                found[where[leads[at] == value[where]]] = True
-        return np.flatnonzero(found)
+        """Places of the suffix array's intervals that test suffixes fall in; ``ids`` are the word numbers from 1, and 0 for all other words and for ends."""
+        value = np.zeros(len(ids), np.int64)
+        for n in range(self.lead):
+            value *= self.base
+            value[: len(ids) - n] += ids[n:]
+        array = np.argsort(value, kind="stable")
+        value = value[array]
+        first, last = np.searchsorted(value, self.leads[:, 0], "left"), np.searchsorted(value, self.leads[:, 1], "right")
+        edge = np.bincount(first, minlength=len(ids) + 1) - np.bincount(last, minlength=len(ids) + 1)  # a shorter window's interval may hold others
+        return array[np.cumsum(edge[:-1]) > 0]
 
     def search(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, place) of all places of all windows."""
@@ -97,39 +98,40 @@ def _keys(rows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(rows).view(f"S{rows.shape[1] * 4}")[:, 0]
 
 
-def _number(ids: tuple[int, ...], base: int) -> int:
+def _interval(ids: tuple[int, ...], base: int, lead: int) -> tuple[int, int]:
     value = 0
     for i in ids:
-        value = value * int(base) + i + 1
-    return value
+        value = value * base + i + 1
+    rest = base ** (lead - len(ids))
+    return value * rest, value * rest + rest - 1
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     for batch in batches:
         texts, at = batch.column("text").cast(pa.binary()), 0
         while at < len(texts):
-            found, size, n = [], 0, 0
-            while at + n < len(texts) and size < SHARD_BYTES:
-                text = texts[at + n].as_py() or b""
-                found.append(words(text))
-                size, n = size + len(text), n + 1
-            yield batch.slice(at, n), found
-            at += n
+            found, size = [], 0
+            while at + len(found) < len(texts) and size < SHARD_BYTES:
+                found.append(texts[at + len(found)].as_py() or b"")
+                size += len(found[-1])
+            yield batch.slice(at, len(found)), found
+            at += len(found)
 
 
-def _judge(found: list[list[bytes]], blocks) -> Iterator[tuple[np.ndarray, list[set], list[list]]]:
+def _judge(texts: list[bytes], blocks) -> Iterator[tuple[np.ndarray, list[set], list[list]]]:
     """For a shard: words hit in each document, its items, and its longest matches (item, item's word, word, words)."""
-    sizes = np.array([len(f) for f in found], np.int64)
+    found = [words(t) for t in texts] if len(blocks) == 1 else None
+    sizes = np.array([len(f) for f in found] if found else [len(words(t)) for t in texts], np.int64)
     starts = np.cumsum(sizes + 1) - sizes - 1
-    edge, items, longest = np.zeros(int((sizes + 1).sum()) + 1, np.int32), [set() for _ in found], [[] for _ in found]
+    edge, items, longest = np.zeros(int((sizes + 1).sum()) + 1, np.int32), [set() for _ in texts], [[] for _ in texts]
     for shared in blocks:
         block = shared.value
         if len(blocks) > 1:  # one block at a time: the broadcast's copy in this worker is read again when needed
             vars(shared).pop("_value", None)
         ids = np.zeros(len(edge) - 1, np.int64)
         get = block.vocabulary.get
-        for s, f in zip(starts, found, strict=True):
-            ids[s : s + len(f)] = np.fromiter(map(get, f, repeat(-1)), np.int64, len(f)) + 1
+        for k, (s, n) in enumerate(zip(starts, sizes, strict=True)):
+            ids[s : s + n] = np.fromiter(map(get, found[k] if found else words(texts[k]), repeat(-1)), np.int64, n) + 1
         which, at = block.search(ids)
         np.add.at(edge, at, 1)
         np.add.at(edge, at + block.widths[which], -1)
@@ -154,8 +156,8 @@ MATCHES = "array<struct<item_id: string, item_start: bigint, doc_start: bigint,
 def _find(blocks, fields: list[str], keep_clean: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("item_id", pa.string()), ("item_start", pa.int64()), ("doc_start", pa.int64()), ("words", pa.int64())]))
-        for rows, found in _shards(batches):
-            sizes, hits, items, longest = _judge(found, blocks)
+        for rows, texts in _shards(batches):
+            sizes, hits, items, longest = _judge(texts, blocks)
             bad = (hits > 0) & (20 * hits >= sizes)
             columns = [rows.column(f) for f in fields]
             if keep_clean:
@@ -194,9 +196,9 @@ def find_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ignored.
     """
     schema = f"doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, matches {MATCHES}"
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_find(test_blocks(benchmark), ["doc_id"], False), schema)
+    return in_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), _find(test_blocks(benchmark), ["doc_id"], False), schema)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the contaminated rows, all columns as they are."""
-    return docs.mapInArrow(_find(test_blocks(benchmark), docs.columns, True), docs.schema)
+    return in_batches(docs, _find(test_blocks(benchmark), docs.columns, True), docs.schema)

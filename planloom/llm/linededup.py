@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planloom.llm.common import numbered, stored
+from planloom.llm.common import in_batches, numbered, sieve, stored
 
 #: Shortest key, in code points, that is deduplicated.
 MIN_CHARS = 10
@@ -28,6 +28,8 @@ MIN_CHARS = 10
 KEYS_PER_SHARD = 1 << 19
 #: Stands for a null doc_id: one document after all others.
 NO_ID = (1 << 63) - 1
+#: Hashes that are reduced together before they are sent.
+KEYS_AT_A_TIME = 1 << 17
 SLOTS = 4
 _MIX = 0x5BD1E995
 
@@ -48,8 +50,8 @@ def _digest(key: bytes) -> bytes:
     return xxhash.xxh3_128_digest(key)
 
 
-def _texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
-    return batch.column(name).cast(pa.binary()).to_pylist()
+def _texts(batch: pa.RecordBatch, name: str) -> Iterator[bytes]:
+    return (t.as_py() for t in batch.column(name).cast(pa.binary()))
 
 
 def _references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,10 +242,10 @@ class LineIndex:
         rows = his.select(self._shard(), F.lit(None).cast("binary").alias("blob"), "hi")
         rows = self.filters.select("shard", "blob", F.lit(None).cast("bigint").alias("hi")).unionByName(rows)
         dealt = rows.repartition(max(self.shards, 1), "shard").sortWithinPartitions("shard", "hi")  # nulls, the filter, come first
-        return stored(dealt.mapInArrow(_per_shard(self.buckets, dead), "shard int, blob binary, hi bigint"), "cuckoo")
+        return stored(in_batches(dealt, _per_shard(self.buckets, dead), "shard int, blob binary, hi bigint"), "cuckoo")
 
     def _insert(self, found: DataFrame) -> LineIndex:
-        out = self._stream(found.select("hi").mapInArrow(_unique_in_batch, "hi bigint"), dead=False)
+        out = self._stream(in_batches(found.select("hi"), _unique_in_batch, "hi bigint", KEYS_AT_A_TIME), dead=False)
         return LineIndex(
             self.spark, self.shards, self.buckets, self.references.unionByName(found),
             out.where("blob is not null").select("shard", "blob"), self.suspects.unionByName(out.where("blob is null").select("hi")),
@@ -263,7 +265,7 @@ class LineIndex:
 
     def may_contain(self, docs: DataFrame) -> DataFrame:
         """Hashes of ``docs`` that the filters have seen: all that are in the index and a few others."""
-        out = self._stream(references(docs).select("hi").mapInArrow(_unique_in_batch, "hi bigint"), dead=False)
+        out = self._stream(in_batches(references(docs).select("hi"), _unique_in_batch, "hi bigint", KEYS_AT_A_TIME), dead=False)
         return out.where("blob is null").select("hi").distinct()
 
     def _suspected(self) -> DataFrame:
@@ -288,15 +290,17 @@ class LineIndex:
 
 def references(docs: DataFrame) -> DataFrame:
     """(doc, hi, lo): one row for each document row and distinct key in it."""
-    return stored(_keyed(docs).mapInArrow(_references, REFS), "references")
+    return stored(in_batches(_keyed(docs), _references, REFS), "references")
 
 
 def _kept(batch: pa.RecordBatch, text_name: str) -> Iterator[tuple[bytes | None, int, int]]:
     """(text that is left, its lines before, lines dropped) of each row."""
-    for text, keys in zip(_texts(batch, text_name), batch.column("keys").to_pylist(), strict=True):
+    for row, keys in zip(batch.column(text_name).cast(pa.binary()), batch.column("keys"), strict=True):
+        text = row.as_py()
         lines = kept = (text or b"").split(b"\n")
-        if keys:
-            lost = {np.array([k["hi"], k["lo"]], np.int64).tobytes() for k in keys}
+        if keys.is_valid:
+            pairs = np.stack([keys.values.field(k).to_numpy() for k in ("hi", "lo")], axis=1)
+            lost = set(pairs.astype(np.int64).view("V16").ravel().tolist())
             kept = [x for x in lines if not (counts_as_key(k := line_key(x)) and _digest(k) in lost)]
         yield text if len(kept) == len(lines) else b"\n".join(kept), len(lines), len(lines) - len(kept)
 
@@ -318,7 +322,10 @@ def _rewrite(inner: list[str], text: str, names: list[str]):
 
 
 def _with_drops(rows: DataFrame, doc_id: str, drops: DataFrame) -> DataFrame:
-    return rows.withColumn("doc", F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID))).join(drops, "doc", "left").drop("doc")
+    """``rows`` with the keys they lose; texts that lose none stay where they are."""
+    rows = rows.withColumn("doc", F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)))
+    untouched = sieve(rows, ["doc"], drops, inside=False).withColumn("keys", F.lit(None).cast(drops.schema["keys"].dataType))
+    return sieve(rows, ["doc"], drops).join(drops, "doc", "left").unionByName(untouched).drop("doc")
 
 
 def line_digests(docs: DataFrame, index: LineIndex | None = None) -> DataFrame:
@@ -328,11 +335,12 @@ def line_digests(docs: DataFrame, index: LineIndex | None = None) -> DataFrame:
     lost to a row of its own document. Null doc_ids are one document after all others. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return _with_drops(rows, "doc_id", (index or LineIndex.of(docs)).drops()).mapInArrow(_digests, "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string")
+    joined = _with_drops(rows, "doc_id", (index or LineIndex.of(docs)).drops())
+    return in_batches(joined, _digests, "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string")
 
 
 def drop_repeated_lines(docs: DataFrame, index: LineIndex | None = None) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``; all other columns and all rows stay."""
     rows, at = numbered(docs)
     joined = _with_drops(rows, at["doc_id"], (index or LineIndex.of(docs)).drops())
-    return joined.mapInArrow(_rewrite(rows.columns, at["text"], docs.columns), docs.schema)
+    return in_batches(joined, _rewrite(rows.columns, at["text"], docs.columns), docs.schema)

@@ -19,6 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from planloom.llm.common import in_batches
+
 WINDOW = 4096
 #: Closes every document.
 END_ID = 2
@@ -252,7 +254,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     repeated rows are packed each; an empty table gives no pieces; other columns are ignored. Sequences belong to one
     partition of the input, whose index is in the upper bits of sequence_id.
     """
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_pack(tokenizer, window), PIECES)
+    return in_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), _pack(tokenizer, window), PIECES)
 
 
 def piece_digests(pieces: DataFrame) -> DataFrame:
