@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -77,7 +78,27 @@ def in_batches(df: DataFrame, run, schema, together: int = 0) -> DataFrame:
         now = str(conf.get(name)).lower().removesuffix("b")
         if not now.isdigit() or not 0 < int(now) <= most:
             conf.set(name, str(most))
-    return df.mapInArrow(_together(run, together) if together else run, schema)
+    return df.mapInArrow(_frugal(_together(run, together) if together else run), schema)
+
+
+def trim() -> None:
+    """Gives memory that was freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def _frugal(run):
+    """``run``, whose worker gives back the memory that it no longer needs; workers live on from task to task."""
+
+    def kept(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return kept
 
 
 def _together(run, rows: int):

@@ -115,6 +115,10 @@ FALLBACK = (Rule("licensed", "licen", "(?:released|distributed|licen[sc]ed|avail
 GATE = ("licen", "copyright", "reserved", "commons", "gpl", "spdx", "bsd", "cc0", "permission", "domain", "proprietary", "wtfpl")
 
 
+#: Stands before a match; no word has it.
+MARK = "\x01"
+
+
 def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
@@ -126,22 +130,17 @@ def _blanks(s: Column) -> Column:
 def _places(line: Column, pattern: Column, label: Column, rank: Column) -> Column:
     """(start, -end, rank, end, label) in words of all matches of a pattern in `` word word ``."""
     bounded = F.concat(F.lit("(?<= )(?:"), pattern, F.lit(")(?= )"))
-    found = F.regexp_extract_all(line, bounded, F.lit(0))
-    between = F.split(line, bounded, -1)
-
-    def intervals(pieces: Column) -> Column:
-        start = F.struct(F.lit(-1).alias("at"), F.array().cast("array<struct<start:int,back:int,rank:int,end:int,label:string>>").alias("out"))
-
-        def step(acc: Column, m: Column) -> Column:
-            first = acc["at"] + _blanks(m["p"])
-            end = first + _blanks(m["m"]) + 1
-            one = F.struct(first.alias("start"), (-end).alias("back"), rank.alias("rank"), end.alias("end"), label.alias("label"))
-            return F.struct((first + _blanks(m["m"])).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    kind = "array<struct<start:int,back:int,rank:int,end:int,label:string>>"
+    # a match is marked before its first word, so the marked words are the starts
+    marked = F.split(F.regexp_replace(line, bounded, F.lit(MARK + "$0")), " ", -1)
+    starts = F.filter(F.transform(marked, lambda w, i: F.when(F.startswith(w, F.lit(MARK)), i - 1)), lambda i: i.isNotNull())
 
-        return F.aggregate(pieces, start, step, lambda a: a["out"])
+    def interval(first: Column, match: Column) -> Column:
+        end = first + _blanks(match) + 1
+        return F.struct(first.cast("int").alias("start"), (-end).cast("int").alias("back"), rank.alias("rank"), end.cast("int").alias("end"), label.alias("label"))
 
-    pairs = F.filter(F.arrays_zip(between.alias("p"), found.alias("m")), lambda z: z["m"].isNotNull())
-    return F.when(F.regexp_like(line, bounded), intervals(pairs)).otherwise(F.array().cast("array<struct<start:int,back:int,rank:int,end:int,label:string>>"))
+    found = F.zip_with(starts, F.regexp_extract_all(line, bounded, F.lit(0)), interval)
+    return F.when(F.regexp_like(line, bounded), found).otherwise(F.array().cast(kind)).cast(kind)
 
 
 def _resolved(all_found: Column) -> Column:

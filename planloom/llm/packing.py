@@ -27,7 +27,7 @@ END_ID = 2
 #: Open windows of a task, by which its memory is bounded.
 MAX_OPEN = 1024
 #: Pieces of text whose ids a worker remembers.
-MAX_CACHED = 500_000
+MAX_CACHED = 200_000
 #: Characters that are tokenized together.
 GROUP_CHARS = 1 << 20
 

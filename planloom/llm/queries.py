@@ -8,6 +8,8 @@ from planloom.llm import bytecnn, decontamination, licenses, linededup, packing,
 from planloom.llm.common import table
 
 
+#: Rounds after which the SQL of op5 has spread all but 0.85 ** 150 of the trust.
+SPREAD_ROUNDS = 150
 #: The public vocabulary with which op1 and the pipeline pack.
 VOCABULARY = "word_bpe_49k.json"
 
@@ -84,7 +86,7 @@ def _op3_sql() -> str:
     value = f"CASE WHEN b = -100000 THEN 0 ELSE pow({rules.GAMMA}, b) * {2 / (1 + rules.GAMMA)!r} END"
     return f"""
 WITH texts AS (
-  SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents
+  SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents
 ), split AS (
   SELECT r, doc_id, lang, source, length(t) - length(regexp_replace(t, '{rules.SYMBOLS}', '', 'g')) AS n_symbols,
     list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w,
@@ -117,9 +119,9 @@ WITH texts AS (
 ), chosen AS (
   SELECT s.lang, s.source, s.measure, CASE WHEN s.n >= {rules.MIN_ROWS} THEN s.high WHEN l.n >= {rules.MIN_ROWS} THEN l.high ELSE a.high END AS high,
     CASE WHEN s.n >= {rules.MIN_ROWS} THEN s.low WHEN l.n >= {rules.MIN_ROWS} THEN l.low ELSE a.low END AS low
-  FROM fences s JOIN fences l ON l.level = 'lang' AND l.lang = s.lang AND l.measure = s.measure JOIN fences a ON a.level = 'all' AND a.measure = s.measure WHERE s.level = 'source'
+  FROM fences s JOIN fences l ON l.level = 'lang' AND l.lang IS NOT DISTINCT FROM s.lang AND l.measure = s.measure JOIN fences a ON a.level = 'all' AND a.measure = s.measure WHERE s.level = 'source'
 ), outside AS (
-  SELECT r, bool_or(v > high OR coalesce(v < low, false)) AS bad FROM long x JOIN chosen c ON x.lang = c.lang AND x.source = c.source AND x.measure = c.measure GROUP BY r
+  SELECT r, bool_or(v > high OR coalesce(v < low, false)) AS bad FROM long x JOIN chosen c ON x.lang IS NOT DISTINCT FROM c.lang AND x.source IS NOT DISTINCT FROM c.source AND x.measure = c.measure GROUP BY r
 ), based AS (
   SELECT *, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM counts
 )
@@ -135,15 +137,8 @@ def _op5_sql() -> str:
     ordered = sorted(urltrust.RULES, key=lambda r: -len(r.text))
     rule, verdict = fits.format(*[f"'{r.text}'" for r in ordered]), fits.format(*[f"'{r.verdict}'" for r in ordered])
     link = urltrust.LINK.replace("'", "''")
-    rounds = "".join(
-        f""", r{k + 1} AS (
-  SELECT host, kind, sum(v) AS v FROM (
-    SELECT dst AS host, s.kind, {urltrust.DAMPING} * v * share AS v FROM r{k} r JOIN steps s ON r.host = s.src AND r.kind = s.kind
-    UNION ALL SELECT host, kind, {1 - urltrust.DAMPING!r} * v FROM r0) GROUP BY host, kind)"""
-        for k in range(urltrust.ROUNDS)
-    )
     return f"""
-WITH urls AS (
+WITH RECURSIVE urls AS (
   SELECT page_id, coalesce(html, '') AS html, CASE WHEN contains(url, '://') THEN {_LOWER.format("regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)")} ELSE '' END AS host,
     CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM pages
 ), ruled AS (
@@ -164,14 +159,13 @@ WITH urls AS (
   SELECT src, dst, kind, w / sum(w) OVER (PARTITION BY src, kind) AS share FROM one
 ), seeds AS (
   SELECT host, CASE WHEN verdict = 'allow' THEN 'trust' ELSE 'distrust' END AS kind, count(*) AS n FROM ruled WHERE rule IS NOT NULL GROUP BY ALL
-), r0 AS (
-  SELECT host, kind, n / sum(n) OVER (PARTITION BY kind) AS v FROM seeds
-){rounds}, last AS (
-  SELECT * FROM r{urltrust.ROUNDS} WHERE EXISTS (FROM edges) UNION ALL SELECT * FROM r0 WHERE NOT EXISTS (FROM edges)
+), terms AS (
+  SELECT host, kind, n / sum(n) OVER (PARTITION BY kind) AS v, 0 AS k FROM seeds
+  UNION ALL SELECT s.dst, s.kind, sum({urltrust.DAMPING} * v * share), min(k) + 1 FROM terms t JOIN steps s ON t.host = s.src AND t.kind = s.kind WHERE k < {SPREAD_ROUNDS} GROUP BY s.dst, s.kind
 ), scored AS (
-  SELECT host, round(coalesce(sum(v) FILTER (kind = 'trust'), 0), {urltrust.DIGITS}) AS trust, round(coalesce(sum(v) FILTER (kind = 'distrust'), 0), {urltrust.DIGITS}) AS distrust FROM last GROUP BY host
+  SELECT host, coalesce(sum(v) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(v) FILTER (kind = 'distrust'), 0) AS distrust FROM terms GROUP BY host
 )
-SELECT page_id, u.host, path, rule, coalesce(verdict, CASE WHEN coalesce(distrust, 0) > {urltrust.THRESHOLD} * coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, u.host, path, rule, coalesce(verdict, CASE WHEN coalesce(distrust, 0) > {(1 + urltrust.MARGIN) * urltrust.THRESHOLD!r} * coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict
 FROM ruled u LEFT JOIN scored s ON u.host = s.host
 """
 

@@ -98,7 +98,7 @@ def bucket_value(number: Column, gamma: float = GAMMA) -> Column:
 def sketches(measured: DataFrame) -> DataFrame:
     """(lang, source, measure, bucket, n): sums of ``n`` merge the sketches of any groups."""
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), bucket(v).alias("bucket")) for k, v in _values().items()]))
-    rows = measured.where("n_words > 0").select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), each.alias("m"))
+    rows = measured.where("n_words > 0").select("lang", "source", each.alias("m"))
     return rows.groupBy("lang", "source", "m.measure", "m.bucket").agg(F.count("*").alias("n"))
 
 
@@ -125,9 +125,8 @@ def thresholds(measured: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     by_lang = merged(by_source, "lang").withColumn("source", F.lit(""))
     everything = merged(by_source).withColumn("lang", F.lit("")).withColumn("source", F.lit(""))
     own = fences(by_source)
-    lang = fences(by_lang).select("lang", F.col("rows").alias("lang_rows"), F.col("fences").alias("lang_fences"))
-    whole = fences(everything).select(F.col("fences").alias("all_fences"), F.lit(1).alias("one"))  # a single row
-    joined = own.join(lang, "lang").withColumn("one", F.lit(1)).join(F.broadcast(whole), "one")
+    lang = fences(by_lang).select(F.col("lang").alias("of_lang"), F.col("rows").alias("lang_rows"), F.col("fences").alias("lang_fences"))
+    joined = own.join(lang, F.col("lang").eqNullSafe(F.col("of_lang"))).withColumn("all_fences", fences(everything).select("fences").scalar())
     pick = F.when(F.col("rows") >= min_rows, F.col("fences")).when(F.col("lang_rows") >= min_rows, F.col("lang_fences")).otherwise(F.col("all_fences"))
     return joined.select("lang", "source", pick.alias("fences"))
 
@@ -137,15 +136,15 @@ def judge(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
 
     ``failed`` lists the measures outside their fences. A null or empty text has no words and fails the base rules; a null
     language or source is a group of its own; repeated rows are judged each; an empty table gives no rows; other columns
-    are ignored.
+    are ignored. A group of fewer than ``min_rows`` rows with words takes its language's thresholds, and a language of fewer
+    those of all rows. Windows are told apart by 64 bits of their words.
     """
     measured = stored(measures(docs), "measures")
     limits = stored(thresholds(measured, min_rows), "thresholds")
-    keyed = measured.withColumn("g_lang", F.coalesce("lang", F.lit(""))).withColumn("g_source", F.coalesce("source", F.lit("")))
     limits = limits.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "fences")
     value = F.create_map(*[x for k, v in _values().items() for x in (F.lit(k), v)])
     outside = lambda f: (F.col("values")[f["measure"]] > f["high"]) | F.coalesce(F.col("values")[f["measure"]] < f["low"], F.lit(False))
-    judged = keyed.join(limits, ["g_lang", "g_source"], "left").withColumn("values", value)
+    judged = measured.join(limits, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left").withColumn("values", value)
     judged = judged.withColumn("failed", F.coalesce(F.transform(F.filter("fences", outside), lambda f: f["measure"]), F.array().cast("array<string>")))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return judged.withColumn("base_failed", base).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size("failed") == 0)).alias("kept"), F.array_sort("failed").alias("failed"))

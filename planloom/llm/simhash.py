@@ -2,9 +2,9 @@
 
 Distinct fingerprints are laid into tiles by the population counts of their four 16-bit lanes. Two fingerprints within
 the radius differ by at most the radius in the summed differences of these counts, so tile pairs beyond it are skipped;
-every other pair of tiles is compared exactly, in numpy blocks of exclusive-or and bit counts. A fingerprint is sent only
-to tiles whose counts are within the radius and not before its own. Tiles have a fixed size, so a large group of near
-copies is dealt over many. Within a tile matches are joined into a forest, so the links that leave it grow with the
+every other pair of tiles is compared exactly, in numpy blocks of exclusive-or and bit counts. A tile travels as one row,
+its fingerprints in an array, and only to tiles whose counts are within the radius and not before its own. Tiles have a
+fixed size, so a large group of near copies is dealt over many. Within a tile matches are joined into a forest, so the links that leave it grow with the
 fingerprints and not with the pairs. Exact copies share one fingerprint and are never compared.
 """
 
@@ -15,6 +15,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -138,14 +139,15 @@ def _compare(radius: int):
 
         for batch in batches:
             tiles, guests = batch.column("tile").to_numpy(), batch.column("guest").to_numpy(zero_copy_only=False)
-            fps = batch.column("fp").to_numpy().view(np.uint64)
-            edges = np.flatnonzero(np.r_[True, (tiles[1:] != tiles[:-1]) | (guests[1:] != guests[:-1]), True])
+            fps = batch.column("fps").flatten().to_numpy().view(np.uint64)
+            past = np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column("fps")).to_numpy())])
+            edges = np.flatnonzero(np.r_[True, (tiles[1:] != tiles[:-1]) | (guests[1:] != guests[:-1]), True]) if len(tiles) else []
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 if tiles[lo] != tile:
                     if held:
                         yield from out(held.close())
                     tile, held = tiles[lo], Tile(radius)
-                yield from out(held.links(fps[lo:hi], own=not guests[lo]))
+                yield from out(held.links(fps[past[lo] : past[hi]], own=not guests[lo]))
         if held:
             yield from out(held.close())
 
@@ -163,21 +165,23 @@ def near_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     width = 64 // LANES
     lanes = [F.bit_count(F.shiftrightunsigned("fp", width * k).bitwiseAND((1 << width) - 1)) for k in range(LANES)]
     bucket = lambda ps: sum((p * _BASE**k for k, p in enumerate(ps[1:], 1)), ps[0])
+    spark = fps.sparkSession
     laid = stored(fps.select("fp").distinct().select("fp", F.array(*lanes).alias("pops")).withColumn("bucket", bucket([F.col("pops")[k] for k in range(LANES)])), "fingerprints")
     counts = sorted((r["bucket"], r["count"]) for r in laid.groupBy("bucket").count().collect())  # 17 ** 4 rows at most
-    tiles, first = [], 0
+    sized, first = [], 0
     for b, n in counts:
-        tiles.append((b, first, -(-n // tile)))
-        first += tiles[-1][2]
-    spark = fps.sparkSession
-    known = F.broadcast(spark.createDataFrame(tiles, "bucket int, first bigint, tiles bigint"))
-    home = laid.join(known, "bucket").withColumn("tile", F.col("first") + F.pmod(F.xxhash64("fp"), F.col("tiles")))
-    own = home.select("tile", F.lit(False).alias("guest"), "fp")
-    same = home.where("tiles > 1 and tile < first + tiles - 1").select(F.explode(F.expr("sequence(tile + 1, first + tiles - 1)")).alias("tile"), F.lit(True).alias("guest"), "fp")
+        sized.append((b, first, -(-n // tile)))
+        first += sized[-1][2]
+    known = F.broadcast(spark.createDataFrame(sized, "bucket int, first bigint, tiles bigint"))
+    placed = laid.join(known, "bucket").withColumn("tile", F.col("first") + F.pmod(F.xxhash64("fp"), F.col("tiles")))
+    home = stored(placed.groupBy("tile", "first", "tiles").agg(F.first("pops").alias("pops"), F.collect_list("fp").alias("fps")), "tiles")
+    home = home.repartition(2 * spark.sparkContext.defaultParallelism, "tile")
+    own = home.select("tile", F.lit(False).alias("guest"), "fps")
+    same = home.where("tiles > 1 and tile < first + tiles - 1").select(F.explode(F.expr("sequence(tile + 1, first + tiles - 1)")).alias("tile"), F.lit(True).alias("guest"), "fps")
     steps = F.array(*[F.array(*map(F.lit, d)) for d in _moves(radius)])
-    moved = laid.select("fp", F.explode(F.transform(steps, lambda d: F.zip_with("pops", d, lambda p, x: p + x))).alias("to"))
-    moved = moved.where(F.forall("to", lambda p: p.between(0, width))).select("fp", bucket([F.col("to")[k] for k in range(LANES)]).alias("bucket"))
-    near = moved.join(known, "bucket").select(F.explode(F.expr("sequence(first, first + tiles - 1)")).alias("tile"), F.lit(True).alias("guest"), "fp")
+    moved = home.select("fps", F.explode(F.transform(steps, lambda d: F.zip_with("pops", d, lambda p, x: p + x))).alias("to"))
+    moved = moved.where(F.forall("to", lambda p: p.between(0, width))).select("fps", bucket([F.col("to")[k] for k in range(LANES)]).alias("bucket"))
+    near = moved.join(known, "bucket").select(F.explode(F.expr("sequence(first, first + tiles - 1)")).alias("tile"), F.lit(True).alias("guest"), "fps")
     dealt = own.unionByName(same).unionByName(near).repartition("tile").sortWithinPartitions("tile", "guest")
     return in_batches(dealt, _compare(radius), "a bigint, b bigint")
 

@@ -21,12 +21,8 @@ DAMPING = 0.85
 TOLERANCE = 1e-6
 #: Ranks within this share are equal, so that neither the end of spreading nor the order of a sum can decide.
 MARGIN = 1e-5
-#: Rounds of the SQL, which has a fixed number.
-ROUNDS = 8
 #: Distrust may exceed trust by this factor.
 THRESHOLD = 1.0
-#: Decimals of the SQL's ranks.
-DIGITS = 12
 LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s>]+)"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

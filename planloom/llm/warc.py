@@ -1,9 +1,10 @@
 """WARC archives: one capture is a request, a response (or revisit) and a metadata record, tied by concurrent-to ids.
 
 Writing: the records are strings whose line separator is the blank line that ends a WARC record, so Spark's own text writer
-makes compressed archives, with its commit protocol and on any file system it knows. Of equal payloads one is a response
-and the others revisit it. Reading: whole archives are parsed by content length, and each capture is put together by joins
-over the record ids.
+makes compressed archives of a bounded number of records, with its commit protocol and on any file system it knows. Of
+equal payloads one is a response and the others revisit it; payloads with no equal, which are most, and those of revisits
+are never shuffled. Reading: archives are inflated and parsed by content length piece by piece, and each capture is put
+together by joins over the record ids.
 """
 
 from __future__ import annotations
@@ -16,13 +17,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planloom.llm.common import cut, scratch, stored
+from planloom.llm.common import BATCH_ROWS, cut, in_batches, scratch, sieve, stored
 
 #: Shorter payloads are never revisits.
 MIN_BYTES = 100
 DATE = "2026-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = "\r\n"
+#: Records of an archive, and bytes that are inflated at a time.
+RECORDS_PER_FILE = 6000
+INFLATED = 1 << 20
 
 
 def _id(kind: str, key: Column) -> Column:
@@ -43,9 +47,18 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> N
     last = F.lit((1 << 63) - 1)
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A").alias("url"), html.alias("html"))
     rows = rows.select("*", F.sha2(F.col("html").cast("binary"), 256).alias("digest"), F.octet_length("html").cast("bigint").alias("bytes"))
+    prints = stored(rows.select("page_id", "digest", "bytes"), "payloads")
+    firsts = prints.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    same = stored(firsts.select("digest", "first"), "copied")
+    # of the payloads that may be copied only the first is written again, and those that are not copied after all
+    other = sieve(prints.select("digest", "page_id"), ["digest"], same).join(same, "digest", "left_anti")
+    full = stored(same.select("digest", F.col("first").alias("page_id")).unionByName(other), "full")
+    single = sieve(rows, ["digest"], same, inside=False).withColumn("first", F.lit(None).cast("bigint"))
+    copied = sieve(rows, ["digest"], same)
+    held = sieve(copied, ["digest", "page_id"], full).join(same, "digest", "left")
+    bare = sieve(copied, ["digest", "page_id"], full, inside=False).withColumn("html", F.lit("")).join(same, "digest")
+    joined = single.unionByName(held).unionByName(bare)
     key = lambda page: F.concat(F.coalesce(page.cast("string"), F.lit("null")), F.lit(" "), F.col("digest"))
-    firsts = cut(rows.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1"))
-    joined = rows.join(firsts.select("digest", "first"), "digest", "left")
     own = key(F.col("page_id"))
     revisit = F.coalesce(F.col("first") < F.coalesce("page_id", last), F.lit(False))
     response_id = _id("response", F.concat(own, F.lit(" "), F.col("url")))
@@ -60,35 +73,53 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> N
     request = _record(F.lit("request"), _id("request", F.concat(own, F.lit(" "), F.col("url"))), [target, concurrent], "application/http; msgtype=request", F.concat(F.lit("GET "), F.regexp_replace("url", " ", "%20"), F.lit(" HTTP/1.1" + CRLF + CRLF)))
     about = F.concat_ws(CRLF, F.concat(F.lit("page-id: "), F.col("page_id").cast("string")), F.concat(F.lit("payload-id: "), _id("payload", own)), F.lit(""))
     metadata = _record(F.lit("metadata"), _id("metadata", F.concat(own, F.lit(" "), F.col("url"))), [target, concurrent], "application/warc-fields", about)
-    joined.select(F.explode(F.array(metadata, request, response)).alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
+    joined.select(F.explode(F.array(metadata, request, response)).alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 RECORDS = "type string, record_id string, concurrent_to string, refers_to string, url string, digest string, page_id bigint, payload_id string, http_bytes bigint, payload_bytes bigint, payload_sha256 string, bad boolean"
 
 
+def _inflated(data: bytes) -> Iterator[bytes]:
+    """The content of all members of a gzip file, in parts."""
+    while data:
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            part = member.decompress(data, INFLATED)
+            data = member.unconsumed_tail
+            if not part and not data and not member.eof:
+                raise ValueError("an archive ends within a member")
+            yield part
+        data = member.unused_data
+
+
 def _blocks(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        first, *lines = data[at:end].decode().split(CRLF)
+    """Headers and block of each record of a compressed archive; one record is held at a time."""
+    parts, held = _inflated(data), bytearray()
+
+    def filled(n: int) -> bool:
+        while len(held) < n:
+            part = next(parts, None)
+            if part is None:
+                return False
+            held.extend(part)
+        return True
+
+    while filled(1):
+        looked = 0
+        while (end := held.find(b"\r\n\r\n", looked)) < 0:
+            looked = max(0, len(held) - 3)
+            if not filled(len(held) + 1):
+                raise ValueError("an archive ends within a record's headers")
+        first, *lines = held[:end].decode().split(CRLF)
         if not first.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+            raise ValueError(f"no WARC record: {first[:80]}")
         headers = {k.lower(): v for k, v in (x.split(": ", 1) for x in lines if ": " in x)}
         start = end + 4
-        at = start + int(headers["content-length"])
-        yield headers, data[start:at]
-        if data[at : at + 4] != b"\r\n\r\n":
-            raise ValueError(f"a record's length is wrong at byte {at}")
-        at += 4
-
-
-def _unzip(data: bytes) -> bytes:
-    out = []
-    while data:
-        part = zlib.decompressobj(31)
-        out.append(part.decompress(data) + part.flush())
-        data = part.unused_data
-    return b"".join(out)
+        stop = start + int(headers["content-length"])
+        if not filled(stop + 4) or held[stop : stop + 4] != b"\r\n\r\n":
+            raise ValueError(f"the length of {headers.get('warc-record-id')} is wrong")
+        yield headers, bytes(held[start:stop])
+        del held[: stop + 4]
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +127,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column("content"):
             rows = []
-            for h, block in _blocks(_unzip(content.as_py())):
+            for h, block in _blocks(content.as_py()):
                 row = dict.fromkeys(schema.names) | {"type": h["warc-type"], "record_id": h["warc-record-id"], "concurrent_to": h.get("warc-concurrent-to"), "refers_to": h.get("warc-refers-to"), "url": h.get("warc-target-uri"), "bad": False}
                 if row["type"] in ("response", "revisit"):
                     head, _, payload = block.partition(b"\r\n\r\n")
@@ -109,12 +140,15 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     fields = dict(x.split(": ", 1) for x in block.decode().split(CRLF) if x)
                     row |= {"page_id": int(fields["page-id"]) if "page-id" in fields else None, "payload_id": fields["payload-id"]}
                 rows.append(row)
-            yield from pa.Table.from_pylist(rows, schema).to_batches(max_chunksize=10000)
+                if len(rows) == BATCH_ROWS:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows = []
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """All records below ``path``, one row each; ``bad`` marks payloads that differ from their digest or length."""
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse, RECORDS)
+    return in_batches(spark.read.format("binaryFile").load(path).select("content"), _parse, RECORDS)
 
 
 def assemble(records: DataFrame) -> DataFrame:

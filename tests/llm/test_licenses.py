@@ -96,3 +96,10 @@ def test_empty_and_only_jvm_operators(spark):
     plan = scanned._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
     assert "Arrow" not in plan
+
+
+def test_thousands_of_detections(spark):
+    """One text with very many places of several phrases, and one without any in many words."""
+    rows = [(1, "All rights reserved. CC BY, GPL 2.0 or later; " * 3000), (2, "general public license " * 5000), (3, "licence of nothing " * 30000)]
+    got = {r.doc_id: tuple(r)[1:] for r in licenses.scan(documents(spark, rows)).collect()}
+    assert got == {d: brute(t) for d, t in rows}

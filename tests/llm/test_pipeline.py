@@ -4,11 +4,11 @@ import random
 import zlib
 
 import numpy as np
+import test_all_pairs
 import test_bytecnn
 import test_decontamination
 import test_linededup
-import test_similarity
-from helpers import AWKWARD, LONG, documents
+from helpers import AWKWARD, documents
 
 import corpus_pipeline
 from planloom.llm import bytecnn
@@ -23,7 +23,7 @@ def corpus():
     rows += [(i, f"{prose(20)}$$$ %%% ### junk junk junk " * 6) for i in range(200, 230)]
     rows += [(300 + k, t) for k, (_, t) in enumerate(rows[:8])]  # exact copies
     rows += [(400, f"{prose(30)} {test_decontamination.PASSAGE} {prose(30)}"), (401, test_decontamination.PASSAGE)]
-    return rows + [r for r in AWKWARD if r[1] is None or r[1][:9] != LONG[:9]]
+    return rows + AWKWARD
 
 
 def test_against_brute_force(spark, tmp_path):
@@ -47,8 +47,12 @@ def test_against_brute_force(spark, tmp_path):
         me = last if d is None else d
         kept = [x for x in (t or "").split("\n") if min(holders.get(test_linededup.key(x), {me})) == me]
         lined.append((d, t if t is None else "\n".join(kept)))
-    groups, _ = test_similarity.brute(lined)
-    single = {d: t for d, t in lined if (str(d), str(d)) in groups}
+    least = {}
+    for (d, t), group in zip(sorted(lined, key=lambda r: str(r[0])), test_all_pairs.all_pairs(lined), strict=True):
+        assert str(d) == group[0]
+        if group[0] == group[1]:
+            least.setdefault(d, t)
+    single = least
     bad = {r[0] for r in test_decontamination.brute(list(single.items()), test_decontamination.ITEMS) if r[5]}
     expected = {d: t for d, t in single.items() if d not in bad}
     assert bad

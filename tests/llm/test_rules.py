@@ -44,6 +44,16 @@ def test_null_groups_and_empty(spark):
     assert rules.judge(df).count() == 3
 
 
+def test_null_and_empty_groups_have_their_own_thresholds(spark):
+    """A null language, an empty one, and each pair with a source are groups; a small group takes its language's."""
+    plain, odd = " ".join(f"w{k}" for k in range(40)), " ".join(f"w{k}$%" for k in range(40))
+    rows = [(i, plain, None, "s") for i in range(60)] + [(100 + i, odd, "", "s") for i in range(60)] + [(200, odd, None, "s"), (300, odd, "", None), (301, plain, "", None), (400, odd, "en", None)]
+    got = {r.doc_id: r.kept for r in rules.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"), min_rows=50).collect()}
+    assert not got[200]
+    assert got[300]
+    assert all(got[i] for i in range(60)) and all(got[100 + i] for i in range(60))
+
+
 def test_sketches_merge_and_bound_the_error(spark):
     df = spark.createDataFrame([(float(v),) for v in range(1, 2001)], "v double")
     from pyspark.sql import functions as F

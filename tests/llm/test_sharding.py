@@ -14,8 +14,9 @@ def brute(rows, shards, vnodes):
         pos = sharding.ring_position("null" if doc is None else str(doc))
         arc = next((i for i, (p, _) in enumerate(nodes) if p >= pos), 0)
         data = (text or "").encode()
-        keyed.append((arc, pos, doc is not None, doc or 0, len(data) + 8, zlib.crc32(data), doc))
-    keyed.sort(key=lambda k: k[:6])
+        part = (zlib.crc32(data) + len(data) + 8) % sharding.PARTS
+        keyed.append((arc, pos, doc is not None, doc or 0, len(data) + 8, zlib.crc32(data), doc, part))
+    keyed.sort(key=lambda k: (k[0], k[7], *k[1:6]))
     caps = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)]
     held, over = [[] for _ in range(shards)], []
     for k in keyed:
@@ -44,6 +45,14 @@ def test_as_the_ring_key_by_key(spark, shards, vnodes):
     assert all(r.grown_shard is None for r in got)
 
 
+def test_a_key_of_a_third_of_the_rows(spark, monkeypatch):
+    """Rows without a doc_id, of many texts and of one, are ranked in parts and put out in runs."""
+    monkeypatch.setattr(sharding, "RUN", 50)
+    rows = [(None, f"text {i}") for i in range(300)] + [(None, "one")] * 333 + [(i, "other") for i in range(400)]
+    got = sharding.assign_shards(documents(spark, rows), 5, 16).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r["size"], r.text_crc32, r.shard, r.slot) for r in got) == brute(rows, 5, 16)
+
+
 def test_empty_and_few(spark):
     assert sharding.assign_shards(documents(spark, [])).count() == 0
     assert sharding.assign_shards(documents(spark, [(1, "a")])).first().slot == 0

@@ -23,7 +23,6 @@ def test_small_ranks_are_judged(spark):
     assert verdicts(spark, rows)["h4.net"] == "block"
 
 
-def test_against_many_rounds(spark, monkeypatch):
-    monkeypatch.setattr(urltrust, "ROUNDS", 300)  # of brute()
+def test_against_many_rounds(spark):
     got = sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in urltrust.judge_urls(pages(spark, ROWS)).collect()), key=str)
     assert got == brute(ROWS)

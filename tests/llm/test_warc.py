@@ -2,7 +2,9 @@ import gzip
 import hashlib
 from pathlib import Path
 
-from planloom.llm import warc
+import pytest
+
+from planloom.llm import common, warc
 from planloom.llm.common import scratch
 from planloom.llm.queries import ORACLES
 
@@ -49,7 +51,8 @@ def test_round_trip_against_brute_force(spark):
 def test_archives_are_warc_files(spark):
     path = scratch(spark, "test-warc")
     warc.write_archives(pages(spark, ROWS), path)
-    data = b"".join(gzip.decompress(p.read_bytes()) for p in sorted(Path(path).glob("part-*.gz")))
+    data = b"".join(p.read_bytes() for p in sorted(Path(path).glob("part-*.gz")))
+    assert gzip.decompress(data)
     records = list(warc._blocks(data))
     kinds = [h["warc-type"] for h, _ in records]
     assert kinds.count("request") == kinds.count("metadata") == kinds.count("response") + kinds.count("revisit") == len(ROWS)
@@ -70,3 +73,26 @@ def test_against_sql(spark, data, duck):
     names = "page_id, payload_bytes, payload_digest, record_type, refers_to"
     got = sorted(map(str, (tuple(r) for r in warc.round_trip(spark.read.parquet(f"{data}/pages.parquet")).selectExpr(*names.split(", ")).collect())))
     assert got == sorted(map(str, duck.execute(f"select {names} from ({ORACLES['op7_transactions']})").fetchall()))
+
+
+def test_archives_of_bounded_size(spark, monkeypatch):
+    """Several archives of a task, records longer than what is inflated at a time, and damage that is not passed over."""
+    monkeypatch.setattr(warc, "RECORDS_PER_FILE", 7)
+    monkeypatch.setattr(warc, "INFLATED", 1000)
+    path = scratch(spark, "test-warc")
+    warc.write_archives(pages(spark, ROWS).coalesce(1), path)
+    files = sorted(Path(path).glob("part-*.gz"))
+    records = [r for f in files for r in warc._blocks(f.read_bytes())]
+    assert len(files) > 3
+    assert len(records) == 3 * len(ROWS)
+    whole = max((f.read_bytes() for f in files), key=len)
+    for bad in (whole[: len(whole) // 2], gzip.compress(gzip.decompress(whole)[:-9]), gzip.compress(b"x" + gzip.decompress(whole))):
+        with pytest.raises(ValueError):
+            list(warc._blocks(bad))
+
+
+def test_full_bitmaps_lose_nothing(spark, monkeypatch):
+    """However many payloads the bitmaps take for copied ones, joins decide."""
+    monkeypatch.setattr(common.sieve, "__defaults__", (True, 2))
+    got = warc.round_trip(pages(spark, ROWS)).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=str) == brute(ROWS)
