@@ -82,6 +82,11 @@ COLUMN: dict[str, Callable[..., Column]] = {
 }
 
 
+def known(name: str) -> bool:
+    """Whether a column's method is one of these; others run as those of pandas."""
+    return name in COLUMN or name in AGGREGATES
+
+
 def call(value: Any, name: str, args: tuple, kwargs: dict) -> Any:
     """A method by name: the table of methods, then the DataFrame's own."""
     from planloom.plans.runtime import Frame, Series, as_value

@@ -1,4 +1,8 @@
-"""Linear models from moments: one pass gives the covariances of every fold, and the driver solves small systems."""
+"""Linear models from moments: one pass gives the covariances of every fold, and the driver solves small systems.
+
+Moments add up, so under K-folds those of a fold's training rows come from the parts, each of whose rows is read once; only
+columns with a fold's state in them, as scaled ones, take a pass over every fold's rows.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from planloom.operators.base import by_fold, per_fold, training
+from planloom.operators.base import additive, by_fold, per_fold, per_part, train_parts, training
 from planloom.plans.runtime import FOLD, Series
 
 #: Up to so many columns the covariances are aggregates of their own; above, Arrow batches give partial products.
@@ -32,14 +36,22 @@ def moments(x, y) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
 def _moments(x, y) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
     rows = x.rows.with_all(y.rows)
     cols = [c.cast("double") for c in (*x.cols.values(), y.col)]
+    parts = additive(rows, cols)
+    found = _grouped(rows, cols, parts)
+    return train_parts(found, rows.folds) if parts else found
+
+
+def _grouped(rows, cols, parts: bool) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+    """Moments of each part, or of the training rows of each fold."""
     p, whole = len(cols), F.lit(True)
+    grouped = per_part if parts else per_fold
     for c in cols:
         whole = whole & c.isNotNull() & ~F.isnan(c)
     cols = [F.when(whole, c) for c in cols]
     means = [F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]
     if p <= FEW:
         pairs = [(i, j) for i in range(p) for j in range(i, p)]
-        found = per_fold(rows, [F.count(F.when(whole, 1)).alias("n"), *means, *[F.covar_pop(cols[i], cols[j]).alias(f"c{i}_{j}") for i, j in pairs]])
+        found = grouped(rows, [F.count(F.when(whole, 1)).alias("n"), *means, *[F.covar_pop(cols[i], cols[j]).alias(f"c{i}_{j}") for i, j in pairs]])
         out = {}
         for k, r in found.items():
             cov = np.zeros((p, p))
@@ -47,9 +59,9 @@ def _moments(x, y) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
                 cov[i, j] = cov[j, i] = r[f"c{i}_{j}"] if r[f"c{i}_{j}"] is not None else np.nan
             out[k] = (r["n"], np.array([r[f"m{i}"] for i in range(p)], float), cov)
         return out
-    found = per_fold(rows, [F.count(F.when(whole, 1)).alias("n"), *means])
+    found = grouped(rows, [F.count(F.when(whole, 1)).alias("n"), *means])
     centre = {k: np.array([r[f"m{i}"] or 0.0 for i in range(p)]) for k, r in found.items()}
-    df, keys = training(rows)
+    df, keys = (rows.test(), [FOLD]) if parts else training(rows)
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -135,6 +147,10 @@ class DummyRegressor:
     """The mean of y."""
 
     def fit(self, x, y):
+        if additive(y.rows, [y.col]) and not x.rows.extensions:
+            found = per_part(y.rows, [F.count(y.col).alias("n"), F.avg(y.col).alias("m")])
+            means = train_parts({k: (r["n"], np.array([r["m"]], float), np.zeros((1, 1))) for k, r in found.items()}, y.rows.folds)
+            return {k: float(m[0]) for k, (_, m, _) in means.items()}
         return {k: r["m"] for k, r in per_fold(x.rows.with_all(y.rows), [F.avg(y.col).alias("m")]).items()}
 
     def transform(self, state, x):

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,8 @@ from planloom.plans.runtime import FOLD, Frame, fresh
 
 #: Buckets of hashed tokens: a state over all buckets is 8 MB, whatever the input.
 BUCKETS = 1 << 20
+#: Buckets where a matrix of buckets x components is kept: 24 MB for 30 components.
+SVD_BUCKETS = 1 << 16
 OVERSAMPLE = 16
 
 
@@ -47,7 +49,8 @@ def token_counts(df: DataFrame, row_id: str, text: str, analyzer: str = "char_wb
 
 
 def hash_bucket(token: Column, buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.crc32(token.cast("binary")), F.lit(buckets))
+    """The first 32 bits of the token's MD5, modulo the buckets."""
+    return F.pmod(F.conv(F.substring(F.md5(token.cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(buckets))
 
 
 def inverse_frequency(counts: DataFrame, rows: int) -> DataFrame:
@@ -63,12 +66,27 @@ def tfidf(counts: DataFrame, idf: DataFrame) -> DataFrame:
 
 
 def project(weights: DataFrame, width: int, seed: int = 42) -> DataFrame:
-    """(row_id, t, value): random signs from the bits of a token's hash; the matrix of signs is never made."""
-    if width > 64:
+    """(row_id, values): ``width`` sums by random signs, the last bits of the MD5 of seed and token; no matrix of signs is made."""
+    if not 0 < width <= 64:
         raise ValueError("a hash has 64 signs")
-    bits = F.xxhash64(F.lit(seed), "token")
-    signs = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda t: F.struct(t.alias("t"), (F.lit(1.0) - 2.0 * F.getbit(bits, t)).alias("sign")))
-    return weights.select("row_id", "value", F.explode(signs).alias("s")).groupBy("row_id", F.col("s.t").alias("t")).agg(F.sum(F.col("value") * F.col("s.sign")).alias("value"))
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("token")).cast("binary")), 17, 16)
+    signed = weights.select("row_id", "value", F.conv(digits, 16, -10).cast("bigint").alias("bits"))
+    sums = [F.sum(F.when(F.getbit("bits", F.lit(t)) == 1, -F.col("value")).otherwise(F.col("value"))) for t in range(width)]
+    return signed.groupBy("row_id").agg(F.array(*sums).alias("values"))
+
+
+def gram(rows: DataFrame, values: str, width: int) -> DataFrame:
+    """(i, j, gram): the sum of the rows' outer products, added up in each task first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, width))
+        for b in batches:
+            y = b.column(0).flatten().to_numpy().reshape(-1, width)
+            total += y.T @ y
+        at = np.arange(width * width, dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(at // width), pa.array(at % width), pa.array(total.ravel())], ["i", "j", "gram"])
+
+    return rows.select(values).mapInArrow(run, "i int, j int, gram double").groupBy("i", "j").agg(F.sum("gram").alias("gram"))
 
 
 def bucket_lists(c: Column, analyzer: str, low: int, high: int, buckets: int) -> Column:
@@ -91,8 +109,9 @@ def _lists(column: pa.Array, at: np.ndarray | None = None) -> tuple[np.ndarray,
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+@lru_cache(maxsize=2)
 def _signs(seed: int, buckets: int) -> np.ndarray:
-    """64 random bits for each bucket."""
+    """64 random bits for each bucket, drawn once in a worker."""
     return np.random.default_rng(seed).integers(0, 1 << 64, buckets, dtype=np.uint64)
 
 
@@ -118,84 +137,101 @@ def top_directions(gram: np.ndarray, k: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class StringEncoder:
-    """Text to ``components`` numbers: hashed n-gram TF-IDF, a sketch by random signs, and its principal directions.
+    """Text to ``components`` numbers: hashed n-gram TF-IDF, and its principal directions.
 
-    The state of a fold is an idf for each bucket and a small matrix, so it is broadcast within a known bound, and encoding is
-    local to each row. Outputs are divided by the root of their total variance in the training rows (1 if that is 0).
+    With ``reduction`` ``sketch`` these are of a sketch by random signs; with ``svd`` of the TF-IDF itself, whose right singular
+    vectors are found by power iteration. The state of a fold is an idf for each bucket and one matrix, so it is broadcast
+    within a known bound, and encoding is local to each row. Outputs are divided by the root of their total variance in the
+    training rows (1 if that is 0).
     """
 
     components: int = 30
     analyzer: str = "char_wb"
     low: int = 3
     high: int = 4
-    buckets: int = BUCKETS
+    buckets: int | None = None
     seed: int = 42
+    reduction: str = "sketch"
 
     def __post_init__(self):
         if self.components < 1 or self.components + OVERSAMPLE > 64:
             raise ValueError(f"components must be 1 to {64 - OVERSAMPLE}")
         if self.analyzer not in ("char", "char_wb"):
             raise ValueError(f"analyzer must be 'char' or 'char_wb', got {self.analyzer!r}")
+        if self.reduction not in ("sketch", "svd"):
+            raise ValueError(f"reduction must be 'sketch' or 'svd', got {self.reduction!r}")
 
     @property
     def width(self) -> int:
         return self.components + OVERSAMPLE
 
+    @property
+    def size(self) -> int:
+        return self.buckets or (BUCKETS if self.reduction == "sketch" else SVD_BUCKETS)
+
     def _buckets(self, c: Column) -> Column:
-        return bucket_lists(c, self.analyzer, self.low, self.high, self.buckets)
-
-    def _idf(self, df, keys, c) -> dict[int, np.ndarray]:
-        fold = (F.col(FOLD) if keys else F.lit(0)).alias("k")
-        rows = {r["k"]: r["count"] for r in df.select(fold).groupBy("k").count().collect()}
-        seen = df.select(fold, F.explode(F.array_distinct(self._buckets(c))).alias("b"))
-        out = {k: np.full(self.buckets, np.log(1.0 + n) + 1) for k, n in rows.items()}
-        for r in seen.groupBy("k", "b").count().toLocalIterator():  # at most one row for each bucket and fold
-            out[r["k"]][r["b"]] = np.log((1 + rows[r["k"]]) / (1 + r["count"])) + 1
-        return out
+        return bucket_lists(c, self.analyzer, self.low, self.high, self.size)
+
+    def _embedded(self, vectors, n: int, matrix: np.ndarray) -> np.ndarray:
+        if self.reduction == "svd":
+            return _times(vectors, n, matrix)
+        return _sketch(vectors, n, _signs(self.seed, self.size), self.width) @ matrix
 
     def fit(self, x, y=None):
         df, keys = training(x.rows)
-        sc, w, state = df.sparkSession.sparkContext, self.width, []
+        sc, state, fold = df.sparkSession.sparkContext, [], (F.col(FOLD) if keys else F.lit(0)).cast("int").alias("k")
         for c in x.cols.values():
-            idf = sc.broadcast(self._idf(df, keys, c))
-
-            def grams(batches: Iterator[pa.RecordBatch], idf=idf) -> Iterator[pa.RecordBatch]:
-                signs, total = _signs(self.seed, self.buckets), {}
-                for b in batches:
-                    folds = b.column("k").to_numpy()
-                    for k in np.unique(folds):
-                        flat, sizes = _lists(b.column("t"), np.flatnonzero(folds == k))
-                        y = _sketch(_vectors(flat, sizes, idf.value[int(k)]), len(sizes), signs, w)
-                        part = np.concatenate([(y.T @ y).ravel(), y.sum(0), [len(sizes)]])
-                        total[int(k)] = total.get(int(k), 0) + part
-                for k, v in total.items():
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), k, np.int32)), pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v)], ["k", "i", "v"])
-
-            long = df.select((F.col(FOLD) if keys else F.lit(0)).cast("int").alias("k"), self._buckets(c).alias("t")).mapInArrow(grams, "k int, i int, v double")
-            sums: dict[int, np.ndarray] = {}
-            for r in long.groupBy("k", "i").agg(F.sum("v").alias("v")).collect():  # width squared, for each fold
-                sums.setdefault(r["k"], np.zeros(w * w + w + 1))[r["i"]] = r["v"]
-            fitted = {}
-            for k, s in sums.items():
-                gram, mean, n = s[: w * w].reshape(w, w), s[w * w : -1] / s[-1], s[-1]
-                p = top_directions(gram, self.components)
-                variance = np.trace(p.T @ (gram / n - np.outer(mean, mean)) @ p)
-                fitted[k] = p / (np.sqrt(variance) if variance > 1e-18 else 1.0)
-            state.append((idf, fitted))
+            lists = df.select(fold, self._buckets(c).alias("t"))
+            found = idf_of(lists, self.size)
+            if self.reduction == "svd":
+                matrices = {k: right_vectors(lists.where(F.col("k") == k).select("t"), found[k], self.components, seed=self.seed)[1] for k in found}
+            else:
+                matrices = dict.fromkeys(found, np.eye(self.width))
+            idf, fitted = sc.broadcast(found), {}
+            for k, (n, total, products) in self._moments(lists, idf, sc.broadcast(matrices)).items():
+                mean = total / n
+                p = top_directions(products, self.components) if self.reduction == "sketch" else np.eye(self.components)
+                variance = np.trace(p.T @ (products / n - np.outer(mean, mean)) @ p)
+                fitted[k] = matrices[k] @ p / (np.sqrt(variance) if variance > 1e-18 else 1.0)
+            state.append((idf, sc.broadcast(fitted)))
         return state
 
+    def _moments(self, lists: DataFrame, idf, matrices) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+        """(rows, sum, sum of outer products) of the embedded rows of each fold."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = {}
+            for b in batches:
+                folds = b.column("k").to_numpy()
+                for k in map(int, np.unique(folds)):
+                    flat, sizes = _lists(b.column("t"), np.flatnonzero(folds == k))
+                    y = self._embedded(_vectors(flat, sizes, idf.value[k]), len(sizes), matrices.value[k])
+                    total[k] = total.get(k, 0) + np.concatenate([(y.T @ y).ravel(), y.sum(0), [len(sizes)]])
+            for k, v in total.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), k, np.int32)), pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v)], ["k", "i", "v"])
+
+        sums: dict[int, dict[int, float]] = {}
+        for r in lists.mapInArrow(run, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect():  # width squared, for each fold
+            sums.setdefault(r["k"], {})[r["i"]] = r["v"]
+        out = {}
+        for k, s in sums.items():
+            v = np.array([s[i] for i in range(len(s))])
+            w = int((np.sqrt(4 * len(v) - 3) - 1) / 2)
+            out[k] = (v[-1], v[w * w : -1], v[: w * w].reshape(w, w))
+        return out
+
     def _encoder(self, idf, fitted):
-        def encode(lists: pd.Series, fold: pd.Series) -> pd.Series:
-            signs, folds, out = _signs(self.seed, self.buckets), fold.to_numpy(), np.zeros((len(lists), self.components))
-            for k in np.unique(folds):
-                at = np.flatnonzero(folds == k)
-                if int(k) in fitted:  # else there are no training rows
-                    own = [lists.iloc[i] for i in at]
-                    flat, sizes = np.concatenate([*own, np.empty(0, np.int64)]).astype(np.int64), np.fromiter(map(len, own), np.int64, len(own))
-                    out[at] = _sketch(_vectors(flat, sizes, idf.value[int(k)]), len(at), signs, self.width) @ fitted[int(k)]
-            return pd.Series(list(out))
-
-        return F.pandas_udf(encode, "array<double>")
+        @F.arrow_udf("array<double>")
+        def encode(lists: pa.Array, fold: pa.Array) -> pa.Array:
+            folds, out = fold.to_numpy(zero_copy_only=False), np.zeros((len(lists), self.components))
+            for k in map(int, np.unique(folds)):
+                if k in fitted.value:  # else there are no training rows
+                    at = np.flatnonzero(folds == k)
+                    flat, sizes = _lists(lists, at)
+                    out[at] = self._embedded(_vectors(flat, sizes, idf.value[k]), len(at), fitted.value[k])
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * self.components), pa.array(out.ravel()))
+
+        return encode
 
     def transform(self, state, x):
         rows, out, fold = x.rows, {}, F.col(FOLD) if x.rows.split else F.lit(0)
@@ -206,17 +242,38 @@ class StringEncoder:
         return Frame(rows, out)
 
 
-def truncated_svd(df: DataFrame, text: str, k: int, features: int = 1 << 12, rounds: int = 5, seed: int = 42, analyzer: str = "char_wb", low: int = 3, high: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """(singular values, right vectors) of the hashed TF-IDF matrix, by randomised power iteration.
+def idf_of(lists: DataFrame, buckets: int) -> dict[int, np.ndarray]:
+    """The idf of each bucket for each fold k; lists: (k, t)."""
+    rows = {r["k"]: r["count"] for r in lists.groupBy("k").count().collect()}
+    out = {k: np.full(buckets, np.log(1.0 + n) + 1) for k, n in rows.items()}
+    seen = lists.select("k", F.explode(F.array_distinct("t")).alias("b")).groupBy("k", "b").count().toArrow()  # at most a row for each bucket and fold
+    folds, at, counts = (seen.column(c).to_numpy() for c in ("k", "b", "count"))
+    for k, n in rows.items():
+        own = folds == k
+        out[k][at[own]] = np.log((1 + n) / (1 + counts[own])) + 1
+    return out
 
-    Every round is one pass whose partial products, features x (k + 16), are summed in Spark; only that matrix is kept.
+
+def _times(vectors, n: int, matrix: np.ndarray) -> np.ndarray:
+    """The product of sparse rows and a matrix."""
+    rows, buckets, values = vectors
+    out = np.zeros((n, matrix.shape[1]))
+    if len(rows):
+        first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+        out[rows[first]] = np.add.reduceat(values[:, None] * matrix[buckets], first)
+    return out
+
+
+def right_vectors(texts: DataFrame, idf: np.ndarray, k: int, rounds: int = 5, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """(singular values, right vectors) of the TF-IDF rows of bucket lists, by randomised power iteration.
+
+    Lists are kept for all rounds. Every round is one pass whose partial products, features x (k + 16), are summed in Spark;
+    only that matrix reaches the driver.
     """
+    features, sc = len(idf), texts.sparkSession.sparkContext
     if not 0 < k <= features:
         raise ValueError(f"k must be 1 to {features}")
-    c, sc = F.col(text), df.sparkSession.sparkContext
-    idf = sc.broadcast(StringEncoder(1, analyzer, low, high, features)._idf(df, [], c).get(0, np.ones(features)))
-    width = min(k + OVERSAMPLE, features)
-    texts = df.select(bucket_lists(c, analyzer, low, high, features).alias("t"))
+    width, kept, weights = min(k + OVERSAMPLE, features), texts.persist(), sc.broadcast(idf)
 
     def times(q: np.ndarray) -> np.ndarray:
         shared = sc.broadcast(q)
@@ -224,29 +281,58 @@ def truncated_svd(df: DataFrame, text: str, k: int, features: int = 1 << 12, rou
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(q.shape)
             for b in batches:
-                rows, buckets, values = _vectors(*_lists(b.column("t")), idf.value)
-                y = np.zeros((b.num_rows, q.shape[1]))
-                np.add.at(y, rows, values[:, None] * shared.value[buckets])
-                np.add.at(total, buckets, values[:, None] * y[rows])
-            at, n = np.flatnonzero(total.any(1)), total.shape[1]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(at) + 1) * n, n), pa.int32()), pa.array(total[at].ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), lists], ["i", "v"])
-
+                rows, buckets, values = _vectors(*_lists(b.column(0)), weights.value)
+                part = values[:, None] * _times((rows, buckets, values), b.num_rows, shared.value)[rows]
+                order = np.argsort(buckets, kind="stable")
+                if len(order):
+                    sorted_ = buckets[order]
+                    first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
+                    total[sorted_[first]] += np.add.reduceat(part[order], first)
+            at = np.flatnonzero(total.any(1))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(total[at, j]) for j in range(total.shape[1]))], ["i", *names])
+
+        names = [f"v{j}" for j in range(q.shape[1])]
+        made = kept.mapInArrow(run, "i int, " + ", ".join(f"{v} double" for v in names))
+        summed = made.groupBy("i").agg(*[F.sum(v).alias(v) for v in names]).toArrow()  # features x width numbers
         out = np.zeros(q.shape)
-        summed = texts.mapInArrow(run, "i int, v array<double>").select("i", F.posexplode("v").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
-        for r in summed.toLocalIterator():  # features x width numbers
-            out[r["i"], r["j"]] = r["v"]
+        out[summed.column("i").to_numpy()] = np.stack([summed.column(v).to_numpy() for v in names], 1)
         shared.unpersist()
         return out
 
-    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(features, width)))[0]
-    for _ in range(rounds):
-        z = times(q)
-        if not z.any():
-            return np.zeros(k), np.zeros((features, k))
-        q = np.linalg.qr(z)[0]
-    values, vectors = np.linalg.eigh(q.T @ times(q))
+    try:
+        q = np.linalg.qr(np.random.default_rng(seed).normal(size=(features, width)))[0]
+        for _ in range(rounds):
+            z = times(q)
+            if not z.any():
+                return np.zeros(k), np.zeros((features, k))
+            q = np.linalg.qr(z)[0]
+        values, vectors = np.linalg.eigh(q.T @ times(q))
+    finally:
+        kept.unpersist()
+        weights.unpersist()
     order = np.argsort(values)[::-1][:k]
     right = q @ vectors[:, order]
-    right *= np.sign(right[np.abs(right).argmax(0), np.arange(right.shape[1])])
+    right *= np.where(right[np.abs(right).argmax(0), np.arange(right.shape[1])] < 0, -1, 1)
     return np.sqrt(np.maximum(values[order], 0)), right
+
+
+def truncated_svd(df: DataFrame, text: str, k: int, features: int | None = None, rounds: int = 5, seed: int = 42, analyzer: str = "char_wb", low: int = 3, high: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(singular values, right vectors, idf) of the hashed TF-IDF matrix of a text column."""
+    features = features or SVD_BUCKETS
+    lists = df.select(F.lit(0).alias("k"), bucket_lists(F.col(text), analyzer, low, high, features).alias("t"))
+    idf = idf_of(lists, features).get(0, np.ones(features))
+    return *right_vectors(lists.select("t"), idf, k, rounds, seed), idf
+
+
+def svd_transform(df: DataFrame, row_id: str, text: str, right: np.ndarray, idf: np.ndarray, analyzer: str = "char_wb", low: int = 3, high: int = 4) -> DataFrame:
+    """(row_id, values): the TF-IDF rows of a text column times the right vectors."""
+    sc = df.sparkSession.sparkContext
+    shared = sc.broadcast((right, idf))
+
+    @F.arrow_udf("array<double>")
+    def embed(lists: pa.Array) -> pa.Array:
+        matrix, weights = shared.value
+        out = _times(_vectors(*_lists(lists), weights), len(lists), matrix)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]), pa.array(out.ravel()))
+
+    return df.select(F.col(row_id).alias("row_id"), embed(bucket_lists(F.col(text), analyzer, low, high, len(idf))).alias("values"))

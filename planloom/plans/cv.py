@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
@@ -47,7 +48,8 @@ class KFold:
     def __call__(self, rows: Rows, cols: dict[str, Column]) -> Rows:
         df, part = self.part(rows, cols)
         each = df.withColumn("__part", part).withColumn(FOLD, F.explode(F.array(*map(F.lit, range(self.splits)))))
-        return Rows(each.withColumn(TEST, F.col(FOLD) == F.col("__part")).drop("__part", "__row_id"), split=True)
+        held = df.withColumn(FOLD, part).where(F.col(FOLD).isNotNull()).withColumn(TEST, F.lit(True)).drop("__row_id")
+        return Rows(each.withColumn(TEST, F.col(FOLD) == F.col("__part")).drop("__part", "__row_id"), split=True, held=held, folds=self.splits)
 
 
 @dataclass(frozen=True)
@@ -137,10 +139,13 @@ def _marks(root: Node) -> tuple[Node | None, Node | None]:
     return found.get("X"), found.get("y")
 
 
-def _predicted(spark: SparkSession, plan: Op | Node, splitter, environment: dict) -> tuple[list[tuple[str, DataFrame]], Context]:
-    """(id, test rows with y and p and fold) of each variant, lowered with one memo, so equal sub-plans are one."""
+def _predicted(spark: SparkSession, plan: Op | Node, splitter, environment: dict) -> tuple[list[tuple[list[str], DataFrame]], Context]:
+    """Test rows with fold, and y and p of each variant by its number, one table for all variants of the same rows, and their ids.
+
+    All are lowered with one memo, so equal sub-plans are one, and variants whose rows are the same are read together.
+    """
     ctx = Context(spark, dict(environment or {}), splitter)
-    out = []
+    groups: dict[Any, list[tuple[str, Rows, Column, Column]]] = {}
     for variant, root in expand(plan):
         root = optimize(root)
         x, y = _marks(root)
@@ -153,10 +158,28 @@ def _predicted(spark: SparkSession, plan: Op | Node, splitter, environment: dict
         target = frame(ctx.run(y))
         p, t = pred.series(next(iter(pred.cols))), target.series(next(iter(target.cols)))
         rows = p.rows.with_all(t.rows)
-        out.append((variant, rows.df().where(F.col(TEST)).select(F.col(FOLD).alias("fold"), t.col.cast("double").alias("y"), p.col.cast("double").alias("p"))))
+        groups.setdefault(id(rows.base), []).append((variant, rows, t.col.cast("double"), p.col.cast("double")))
+    out = []
+    for found in groups.values():
+        rows = found[0][1]
+        for _, more, _, _ in found[1:]:
+            rows = rows.with_all(more)
+        values = [c.alias(f"{n}{i}") for i, (_, _, t, p) in enumerate(found) for n, c in (("y", t), ("p", p))]
+        out.append(([v for v, *_ in found], rows.test().select(F.col(FOLD).alias("fold"), *values)))
     return out, ctx
 
 
+def _stacked(ids: list[str], rows: DataFrame, fields: Callable[[int], list[Column]], *more: str) -> DataFrame:
+    """Rows of (id, *more, *fields) for each row and variant."""
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("id"), *fields(i)) for i, v in enumerate(ids)]))
+    found = rows.select(*more, each.alias("v"))
+    return found.select("v.id", *more, *[f"v.{c}" for c in found.schema["v"].dataType.names if c != "id"])
+
+
+def _pairs(ids: list[str], rows: DataFrame, *more: str) -> DataFrame:
+    return _stacked(ids, rows, lambda i: [F.col(f"y{i}").alias("y_true"), F.col(f"p{i}").alias("y_pred")], *more)
+
+
 def heavy_hitters(times: dict[str, list[float]], top: int) -> list[tuple[str, float, int]]:
     """(node, seconds, calls), the longest first."""
     return sorted(((n, sum(s), len(s)) for n, s in times.items()), key=lambda r: -r[1])[:top]
@@ -168,8 +191,13 @@ def grid_search(spark: SparkSession, plan: Op | Node, cv: Any = None, scoring: A
     if get_config().debug_graph:
         print(to_dot(plan))
     parts, ctx = _predicted(spark, plan, KFold(5 if cv is None else cv) if cv is None or isinstance(cv, int) else cv, environment)
-    tagged = _union([df.select(F.lit(v).alias("id"), "fold", F.col("y").alias("y_true"), F.col("p").alias("y_pred")) for v, df in parts])
-    scored = _union([df.groupBy("fold").agg(metric(F.col("y"), F.col("p")).alias("score")).select(F.lit(v).alias("id"), "fold", "score") for v, df in parts])
+    tagged = _union([_pairs(ids, df, "fold") for ids, df in parts])
+    of_fold = [(ids, df.groupBy("fold").agg(*[metric(F.col(f"y{i}"), F.col(f"p{i}")).alias(f"s{i}") for i in range(len(ids))])) for ids, df in parts]
+    scored = _union([_stacked(ids, df, lambda i: [F.col(f"s{i}").alias("score")], "fold") for ids, df in of_fold])
+    if get_config().stats:  # then scoring counts too; it gives a row for each variant and fold
+        began, schema = time.perf_counter(), scored.schema
+        scored = spark.createDataFrame(scored.collect(), schema)
+        ctx.times.setdefault("score", []).append(time.perf_counter() - began)
     results = scored.groupBy("id").agg(F.avg("score").alias("scores"))
     hitters = heavy_hitters(ctx.times, get_config().stats_top_k)
     if get_config().stats:
@@ -191,7 +219,7 @@ def evaluate(spark: SparkSession, plan: Op | Node, split: Any = None, environmen
         ctx = Context(spark, dict(environment or {}))
         return {v: ctx.run(optimize(p)) for v, p in expand(root)}
     parts, _ = _predicted(spark, root, split or Holdout(), environment)
-    return _union([df.select(F.lit(v).alias("id"), F.col("y").alias("y_true"), F.col("p").alias("y_pred")) for v, df in parts])
+    return _union([_pairs(ids, df) for ids, df in parts])
 
 
 def value(spark: SparkSession, plan: Op | Node, environment: dict | None = None, preview: bool = False) -> Any:

@@ -11,6 +11,7 @@ training or test row of that fold. All states are then aggregates grouped by fol
 
 from __future__ import annotations
 
+import datetime
 import itertools
 import time
 from collections.abc import Callable
@@ -59,14 +60,25 @@ class Extension:
 
 @dataclass(frozen=True, eq=False)
 class Rows:
-    """A base with extensions, whose columns expressions refer to by unique names."""
+    """A base with extensions, whose columns expressions refer to by unique names.
+
+    ``held`` has the test rows of all folds alone. Under K-folds each row is there once, where ``base`` repeats it for each fold.
+    """
 
     base: DataFrame
     extensions: tuple[Extension, ...] = ()
     split: bool = False
+    held: DataFrame | None = None
+    folds: int = 1
 
     def df(self) -> DataFrame:
-        out = self.base
+        return self._extended(self.base)
+
+    def test(self) -> DataFrame:
+        """The test rows."""
+        return self._extended(self.base.where(F.col(TEST)) if self.held is None else self.held)
+
+    def _extended(self, out: DataFrame) -> DataFrame:
         for e in self.extensions:
             out = e.apply(out)
         return out
@@ -117,11 +129,10 @@ class Frame:
 
     def where(self, mask: Series) -> Frame:
         rows = self.rows.with_all(mask.rows)
-        kept = rows.df().where(mask.col)
         hidden = [FOLD, TEST] if rows.split else []
         inner = {n: fresh("c") for n in self.cols}
-        base = kept.select(*[c.alias(inner[n]) for n, c in self.cols.items()], *hidden)
-        return Frame(Rows(base, split=rows.split), {n: F.col(i) for n, i in inner.items()})
+        kept = lambda df: df.where(mask.col).select(*[c.alias(inner[n]) for n, c in self.cols.items()], *hidden)
+        return Frame(Rows(kept(rows.df()), split=rows.split, held=None if rows.held is None else kept(rows.test()), folds=rows.folds), {n: F.col(i) for n, i in inner.items()})
 
 
 @dataclass(frozen=True, eq=False)
@@ -312,25 +323,72 @@ def _numeric(ctx, node, func, args):
     return combine(_arrow(func, {}), list(args))
 
 
-def _arrow(func: Callable, kwargs: dict) -> Callable[..., Column]:
+#: Values by which the type of a function's results is found, and its results for some rows compared with those for all.
+SAMPLE = 32
+KINDS = ((bool, "boolean"), (int, "double"), (float, "double"), (str, "string"), (datetime.datetime, "timestamp"), (datetime.date, "date"))
+
+
+def kind_of(results: list[Any], default: str) -> str:
+    """Spark's type for values of Python or numpy; numbers are doubles."""
+    for v in results:
+        v = v.item() if isinstance(v, np.generic) else v
+        if v is not None and v is not pd.NaT:
+            return next((k for t, k in KINDS if isinstance(v, t)), default)
+    return default
+
+
+def _settled(values: pd.Series, kind: str) -> pd.Series:
+    """Values as Arrow takes them for a type; numbers that are missing are NaN, and other values null."""
+    if kind == "double":
+        return values.astype("float64")
+    return values.astype(object).where(values.notna(), None) if kind in ("string", "boolean", "date") else values
+
+
+def _arrow(func: Callable, kwargs: dict, kind: str = "double") -> Callable[..., Column]:
     """A function of values as one of Arrow batches."""
 
     def run(rows: pd.DataFrame) -> pd.Series:
         values = [rows[c] for c in rows]
         if isinstance(func, np.ufunc):
-            return pd.Series(func(*values, **kwargs)).astype("float64")
-        return values[0].map(lambda v: func(v, **kwargs)).astype("float64")
+            return _settled(pd.Series(func(*values, **kwargs)), kind)
+        missing = "ignore" if values[0].dtype == object else None  # a number that is missing is NaN, which functions take
+        return _settled(values[0].map(lambda v: func(v, **kwargs), na_action=missing), kind)
 
-    batched = F.pandas_udf(run, "double")
+    batched = F.pandas_udf(run, kind)
     return lambda *cols: batched(F.struct(*[c.alias(f"v{i}") for i, c in enumerate(cols)]))
 
 
-def _udf(ctx, node, value, func, kwargs):
-    if getattr(func, "__name__", "") == "to_datetime":
+def _sampled(value: Series) -> pd.Series:
+    return value.df().limit(SAMPLE).toPandas()[value.name]
+
+
+def _by_column(value: Series, func: Callable, returns: str | None) -> Series:
+    """A function of whole columns, which Arrow batches take the place of; each of its results may need its own row only."""
+    sample = _sampled(value)
+    found = func(sample)
+    apart = [func(sample.iloc[i : i + 1]) for i in range(len(sample))]
+    local = isinstance(found, pd.Series) and len(found) == len(sample) and all(isinstance(x, pd.Series) for x in apart)
+    if not local or not pd.concat([*apart, found.iloc[:0]]).astype(object).fillna("").reset_index(drop=True).equals(found.astype(object).fillna("").reset_index(drop=True)):
+        raise ValueError("a function of columns must give each row a value that depends on that row alone")
+    kind = returns or kind_of(list(found), dict(value.df().dtypes)[value.name])
+    return value.with_col(F.pandas_udf(lambda s: _settled(func(s), kind), kind)(value.col))
+
+
+def _udf(ctx, node, value, func, returns, kwargs):
+    if func is pd.to_datetime:
         return combine(lambda c: scalar.to_datetime(c, **{k: v for k, v in kwargs.items() if k in ("format", "errors")}), [value])
-    if isinstance(value, Frame):  # a function of columns
-        return Frame(value.rows, {n: func(c, **kwargs) for n, c in value.cols.items()})
-    return combine(_arrow(func, kwargs), [value])
+    if isinstance(value, Frame):  # a function of each column
+        if isinstance(func, np.ufunc):
+            return _numeric(ctx, node, func, [value])
+        rows, out = value.rows, {}
+        for n in value.cols:
+            part = _by_column(value.series(n), lambda s: func(s, **kwargs), returns)
+            rows, out[n] = rows.with_all(part.rows), part.col
+        return Frame(rows, out)
+    if isinstance(func, np.ufunc):
+        return combine(_arrow(func, kwargs, returns or "double"), [value])
+    results = (func(v, **kwargs) for v in _sampled(value).dropna()) if returns is None and not value.df().isStreaming else ()
+    return combine(_arrow(func, kwargs, returns or kind_of(list(results), dict(value.df().dtypes)[value.name])), [value])
 
 
 def _row_udf(ctx, node, value, func, returns):
@@ -389,12 +447,14 @@ def _concat(ctx, node, parts, axis):
 def _method(ctx, node, value, name, args, kwargs):
     if not isinstance(value, (Frame, Series)):
         return getattr(value, name)(*args, **kwargs)
+    if isinstance(value, Series) and not methods.known(name) and callable(getattr(pd.Series, name, None)):
+        return _by_column(value, lambda s: getattr(s, name)(*args, **kwargs), None)
     return methods.call(value, name, args, kwargs)
 
 
 def _func(ctx, node, func, args, kwargs):
-    if getattr(func, "__name__", "") == "to_datetime" and isinstance(args[0], (Frame, Series)):
-        return _udf(ctx, node, args[0], func, kwargs)
+    if func is pd.to_datetime and isinstance(args[0], (Frame, Series)):
+        return _udf(ctx, node, args[0], func, None, kwargs)
     plain = [a.df() if isinstance(a, Frame) else a for a in args]
     return as_value(ctx, func(*plain, **kwargs))
 
@@ -415,17 +475,35 @@ def _mark(ctx, node, value, which):
     return replace(value, rows=ctx.splits[key][1])
 
 
-def _fit(ctx, node, value, estimator, y, cols):
+class RejectColumn(ValueError):
+    """Raised by an estimator's ``fit`` for a column that it doesn't take."""
+
+
+def _fit(ctx, node, value, estimator, y, cols, how, allow_reject, unsupervised):
+    if how not in ("auto", "cols", "frame", "no_wrap"):
+        raise ValueError(f"how must be 'auto', 'cols', 'frame' or 'no_wrap', got {how!r}")
     value = frame(value)
     names = list(value.cols) if cols is None else [cols] if isinstance(cols, str) else cols.names(value.schema()) if isinstance(cols, Numeric) else list(cols)
-    own = value.choose(names)
-    key = (node.inputs, node.params)
-    if key not in ctx.states:
-        target = None if y is None else frame(y).series(next(iter(frame(y).cols)))
-        ctx.states[key] = estimator.fit(own, target)
-    out = estimator.transform(ctx.states[key], own)
-    if isinstance(out, Series) or cols is None:
-        return out
+    if how == "no_wrap" and cols is not None:
+        raise ValueError("how='no_wrap' takes all columns")
+    target = None if y is None or unsupervised else frame(y).series(next(iter(frame(y).cols)))
+    out = None
+    for k, group in enumerate([[n] for n in names] if how == "cols" else [names]):
+        own, key = value.choose(group), (node.inputs, node.params, k)
+        if key not in ctx.states:
+            try:
+                ctx.states[key] = estimator.fit(own, target)
+            except RejectColumn:
+                if not allow_reject:
+                    raise
+                ctx.states[key] = RejectColumn
+        part = own if ctx.states[key] is RejectColumn else estimator.transform(ctx.states[key], own)
+        if isinstance(part, Series) and (cols is None or how == "no_wrap") and how != "cols":
+            return part
+        part = frame(part)
+        out = part if out is None else Frame(out.rows.with_all(part.rows), out.cols | part.cols)
+    if out is None or cols is None and how != "cols":
+        return value if out is None else out
     rest = {n: c for n, c in value.cols.items() if n not in names}
     return Frame(out.rows.with_all(value.rows), rest | out.cols)
 

@@ -255,6 +255,24 @@ def udf_scalar(spark, sf):
 ORACLES["udf_scalar"] = "SELECT p_partkey, CAST(CASE WHEN p_size % 2 = 0 THEN p_size / 2.0 ELSE 3.0 * p_size + 1 END AS DOUBLE) AS v FROM part"
 
 
+@query("SELECT c_custkey, upper(substr(c_mktsegment, 1, 3)) || '!' AS v, c_name LIKE '%7' AS seven FROM customer")
+def udf_string(spark, sf):
+    t = op(spark, sf, "customer")
+    return value(spark, t.assign(v=t["c_mktsegment"].apply(lambda s: s[:3].upper() + "!"), seven=t["c_name"].apply(lambda s: s.endswith("7")))[["c_custkey", "v", "seven"]])
+
+
+@query("SELECT coalesce(CASE WHEN p_size % 3 <> 0 THEN p_size END, 0) * 2.0::DOUBLE AS p_size, p_retailprice * 2.0::DOUBLE AS p_retailprice FROM part")
+def udf_frame(spark, sf):
+    t = pl.table(read(spark, sf, "part").selectExpr("double(CASE WHEN p_size % 3 <> 0 THEN p_size END) AS p_size", "p_retailprice"))
+    return value(spark, t.apply(lambda c: c.fillna(0) * 2))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) ** 2 AS v FROM lineitem")
+def method_of_pandas(spark, sf):
+    t = op(spark, sf, "lineitem")
+    return value(spark, t.assign(v=t["l_quantity"].pow(2.0))[["l_orderkey", "l_linenumber", "v"]])
+
+
 @query("SELECT p_partkey, CAST(p_size + p_partkey AS DOUBLE) AS v FROM part")
 def udf_multi_col(spark, sf):
     t = op(spark, sf, "part")
@@ -667,52 +685,86 @@ def tfidf_transform_oov(spark, sf):
     return text.tfidf(counts.where("row_id % 10 <> 0"), fitted).withColumn("value", F.round("value", 6))
 
 
-@query()
+_HASHED = f"tf AS (SELECT id, ('0x' || substr(md5(token), 1, 8))::UBIGINT % {text.BUCKETS} AS token, count(*) AS tf FROM {_grams_sql(_WORDS, 3, 4)} GROUP BY ALL)"
+#: t and the sign that a token's hash gives it.
+_SIGNS = "(SELECT CAST(t AS INT) AS t FROM range(46) r(t)) s, (SELECT *, ('0x' || substr(md5('42:' || token), 17, 16))::UBIGINT AS bits FROM x) y"
+_PROJECTED = f"""WITH {_IDF_SQL}, w AS (SELECT id, token, tf * idf AS v FROM tf JOIN idf USING (token)), x AS (SELECT id, token, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS v FROM w),
+  y AS (SELECT id AS row_id, t, sum(CASE WHEN (bits >> t::UBIGINT) & 1 = 1 THEN -v ELSE v END) AS value FROM {_SIGNS} GROUP BY ALL)"""
+
+
+@query(f"SELECT DISTINCT token, CAST(('0x' || substr(md5(token), 1, 8))::UBIGINT % {text.BUCKETS} AS BIGINT) AS bucket FROM {_grams_sql(_WORDS, 3, 4)}")
 def hash_buckets(spark, sf):
     return _counts(spark, sf)[0].select("token", text.hash_bucket(F.col("token")).alias("bucket")).distinct()
 
 
-@query()
+@query(f"""WITH {_HASHED}, idf AS (SELECT token, ln((1 + (SELECT count(*) FROM part)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY token), w AS (SELECT id, token, tf * idf AS v FROM tf JOIN idf USING (token))
+  SELECT id AS row_id, CAST(token AS VARCHAR) AS token, round(v / sqrt(sum(v * v) OVER (PARTITION BY id)), 6) AS value FROM w""")
 def tfidf_hashing(spark, sf):
     counts, n = _counts(spark, sf)
     hashed = counts.groupBy("row_id", text.hash_bucket(F.col("token")).cast("string").alias("token")).agg(F.sum("tf").alias("tf"))
-    return text.tfidf(hashed, text.inverse_frequency(hashed, n))
+    return text.tfidf(hashed, text.inverse_frequency(hashed, n)).withColumn("value", F.round("value", 6))
 
 
-@query()
-def random_projection(spark, sf):
+def _projected(spark, sf):
     counts, n = _counts(spark, sf)
     return text.project(text.tfidf(counts, text.inverse_frequency(counts, n)), 46)
 
 
-@query()
+@query(f"{_PROJECTED} SELECT row_id, t, round(value, 6) + 0.0 AS value FROM y")
+def random_projection(spark, sf):
+    return _projected(spark, sf).select("row_id", F.posexplode("values").alias("t", "value")).withColumn("value", F.round("value", 6) + F.lit(0.0))
+
+
+@query(f"{_PROJECTED} SELECT a.t AS i, b.t AS j, round(sum(a.value * b.value), 6) + 0.0 AS gram FROM y a JOIN y b USING (row_id) GROUP BY ALL")
 def embed_gram(spark, sf):
-    y = random_projection(spark, sf)
-    a, b = y.select("row_id", F.col("t").alias("i"), F.col("value").alias("a")), y.select("row_id", F.col("t").alias("j"), F.col("value").alias("b"))
-    return a.join(b, "row_id").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("gram"))
+    return text.gram(_projected(spark, sf), "values", 46).withColumn("gram", F.round("gram", 6) + F.lit(0.0))
 
 
 @query()
 def string_encode_shape(spark, sf):
-    t = op(spark, sf, "part")
-    return value(spark, t[["p_name"]].fit_apply(pl.StringEncoder(components=8, buckets=1 << 16)))
+    return value(spark, op(spark, sf, "part")[["p_name"]].fit_apply(pl.StringEncoder()))
+
+
+@query()
+def string_encode_svd(spark, sf):
+    return value(spark, op(spark, sf, "part")[["p_name"]].fit_apply(pl.StringEncoder(reduction="svd")))
 
 
 @query()
+def string_encode_cols(spark, sf):
+    return value(spark, op(spark, sf, "part")[["p_name", "p_type"]].fit_apply(pl.StringEncoder(), how="cols"))
+
+
+_SCALED = "round(({0} - (SELECT avg({0}) FROM part)) / (SELECT stddev_pop({0}) FROM part), 9) AS {0}"
+
+
+@query(f"SELECT p_partkey, p_name, {_SCALED.format('p_size')}, {_SCALED.format('p_retailprice')} FROM part")
 def apply_to_cols(spark, sf):
-    return value(spark, op(spark, sf, "part")[["p_name", "p_type"]].fit_apply(pl.StringEncoder(components=3, buckets=1 << 14)))
+    """Each column by itself; one that is no number is rejected and passed on."""
+    out = op(spark, sf, "part")[["p_partkey", "p_name", "p_size", "p_retailprice"]].fit_apply(pl.StandardScaler(), cols=["p_name", "p_size", "p_retailprice"], how="cols", allow_reject=True)
+    return value(spark, out).withColumns({c: F.round(c, 9) for c in ("p_size", "p_retailprice")})
 
 
 @query()
 def tsvd(spark, sf):
-    sigma, _ = text.truncated_svd(read(spark, sf, "part"), "p_name", 6)
+    sigma, _, _ = text.truncated_svd(read(spark, sf, "part"), "p_name", 30)
     return spark.createDataFrame([(i, float(s)) for i, s in enumerate(sigma)], "i int, sigma double")
 
 
 @query()
+def tsvd_transform(spark, sf):
+    part = read(spark, sf, "part")
+    _, right, idf = text.truncated_svd(part, "p_name", 30)
+    return text.svd_transform(part, "p_partkey", "p_name", right, idf).select("row_id", *[F.element_at("values", i + 1).alias(f"v{i}") for i in range(30)])
+
+
+_PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+@query("SELECT CAST(o_totalprice AS DOUBLE) AS o_totalprice, " + ", ".join(f"CAST({p}(o_orderdate) AS DOUBLE) AS o_orderdate_{p}" for p in ("year", "month", "day", "hour")) + ", "
+       + ", ".join(f"CAST(o_orderstatus = '{s}' AS DOUBLE) AS o_orderstatus_{s}" for s in "FOP") + ", " + ", ".join(f"CAST(o_orderpriority = '{p}' AS DOUBLE) AS \"o_orderpriority_{p}\"" for p in _PRIORITIES) + " FROM orders")
 def table_vectorizer(spark, sf):
-    t = op(spark, sf, "orders")[["o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]]
-    return value(spark, t.fit_apply(pl.TableVectorizer(high=pl.StringEncoder(components=4, buckets=1 << 14))))
+    return value(spark, op(spark, sf, "orders")[["o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]].fit_apply(pl.TableVectorizer()))
 
 
 @query("SELECT b AS bin, count(*) AS n FROM (SELECT ntile(4) OVER (ORDER BY p_retailprice, p_partkey) AS b FROM part) GROUP BY b")

@@ -1,6 +1,6 @@
 """Operators on tiny tables."""
 
-import zlib
+import hashlib
 
 import numpy as np
 import pandas as pd
@@ -13,7 +13,7 @@ from planloom.functions.scalar import spark_pattern
 from planloom.operators import linear, text
 from planloom.plans import cv
 from planloom.plans.cv import KFold, ModuloHoldout, value
-from planloom.plans.runtime import Frame, PlanError
+from planloom.plans.runtime import Frame, PlanError, RejectColumn
 from planloom.streaming import on_stream
 
 
@@ -116,6 +116,107 @@ def test_functions_of_values_frames_and_rows(spark, days):
     assert value(spark, t.apply_func(lambda df, n: df.limit(n), 3)).count() == 3
 
 
+def test_types_and_rows_of_functions(spark):
+    import datetime
+
+    t = pl.table(spark.createDataFrame([(1, "a", 2.5), (2, None, None), (3, "c", -1.0)], "k int, s string, x double"))
+    got = lambda op: [r[0] for r in value(spark, op).collect()]
+    assert got(t["s"].apply(lambda v: v + "!")) == ["a!", None, "c!"]
+    assert got(t["k"].apply(lambda v: f"n{v}")) == ["n1", "n2", "n3"]
+    assert got(t["k"].apply(lambda v: v > 1)) == [False, True, True]
+    assert got(t["k"].apply(lambda v: datetime.date(2020, 1, v))) == [datetime.date(2020, 1, d) for d in (1, 2, 3)]
+    assert got(t["s"].apply(lambda v: len(v), returns="int")) == [1, None, 1]
+    assert got(t["x"].apply(lambda v: 0.0 if v != v else v)) == [2.5, 0.0, -1.0]
+    assert got(t[["x"]].apply(lambda c: c.fillna(0.0) + 1)) == [3.5, 1.0, 0.0]
+    assert got(t["x"].pow(2))[0] == 6.25
+    assert got(t["s"].replace("a", "z")) == ["z", None, "c"]
+
+    def to_datetime(v):
+        return v + "?"
+
+    assert got(t["s"].apply(to_datetime)) == ["a?", None, "c?"]
+    for bad in (t["k"].cumsum(), t[["k"]].apply(lambda c: c - c.mean())):
+        with pytest.raises(RuntimeError, match="depends on that row alone"):
+            got(bad)
+
+
+def test_apply_options(spark):
+    class Picky:
+        def fit(self, x, y):
+            if len(x.cols) != 1:
+                raise ValueError("one column")
+            if dict(x.df().dtypes)[next(iter(x.cols))] == "string":
+                raise RejectColumn("no text")
+            assert y is None
+            return None
+
+        def transform(self, state, x):
+            return Frame(x.rows, {f"{n}_2": c * 2 for n, c in x.cols.items()})
+
+    t = pl.table(spark.createDataFrame([(1, "a", 2.5, 1.0)], "k int, s string, x double, y double"))
+    x = t.drop("y")
+    out = value(spark, x.fit_apply(Picky(), y=t["y"], how="cols", allow_reject=True, unsupervised=True))
+    assert out.columns == ["k_2", "s", "x_2"]
+    assert rows(out) == [(2, "a", 5.0)]
+    assert value(spark, x.fit_apply(Picky(), cols=["x"], how="cols")).columns == ["k", "s", "x_2"]
+    for bad in ({"how": "cols"}, {}, {"how": "no"}, {"how": "no_wrap", "cols": ["x"]}):
+        with pytest.raises(RuntimeError):
+            value(spark, x.fit_apply(Picky(), **bad))
+
+
+def test_numpy_files_are_read_by_runs(spark, tmp_path, monkeypatch):
+    from planloom import sources
+
+    monkeypatch.setattr(sources, "NPY_RUN", 400)
+    monkeypatch.setattr(sources, "NPY_HELD", 96)
+    for k, a in enumerate((np.arange(1000), np.random.default_rng(0).normal(size=(77, 3)), np.zeros((0, 2)), np.arange(5, dtype=np.float32), np.array([True, False]))):
+        path = str(tmp_path / f"{k}.npy")
+        np.save(path, a)
+        df = value(spark, pl.scan("npy", path))
+        got = sorted((r.row_id, r.value) for r in df.collect())
+        assert [i for i, _ in got] == list(range(len(a)))
+        assert np.allclose(np.array([v for _, v in got], float).reshape(a.shape), a)
+    np.save(tmp_path / "bad.npy", np.zeros((2, 2, 2)))
+    with pytest.raises(RuntimeError, match="one or two dimensions"):
+        value(spark, pl.scan("npy", str(tmp_path / "bad.npy")))
+
+
+def test_ties_of_a_key_are_not_one_range(spark):
+    df = spark.createDataFrame([(i, i % 2) for i in range(4000)], "i int, k int")
+    got = sources.with_row_id(df, ["k"])
+    assert sorted(r["__row_id"] for r in got.collect()) == list(range(4000))
+    assert max(r.k * 10000 + r["__row_id"] for r in got.collect() if not r.k) < 2000
+
+
+def test_searches_read_test_rows_once(spark, days):
+    """Statistics of folds from those of parts, and one read of the table for all variants."""
+    rng = np.random.default_rng(3)
+    data = [(int(i), float(a), float(b), float(2 * a - b + e)) for i, (a, b, e) in enumerate(rng.normal(size=(200, 3)))]
+    df = spark.createDataFrame(data, "k int, a double, b double, y double")
+    t = pl.table(df)
+    x, y = t[["k", "a", "b"]].mark_x(), t["y"].mark_y()
+    f = x[["a", "b"]]
+    preps = {"plain": f, "scaled": f.fit_apply(pl.StandardScaler()), "few": f.fit_apply(pl.StandardScaler(), cols="a")}
+    models = {"mean": pl.DummyRegressor(), "ols": pl.LinearRegression(), "lasso": pl.Lasso(0.1)}
+    plan = pl.choose_from({m: pl.choose_from(preps, name="prep").fit_apply(e, y=y) for m, e in models.items()}, name="model")
+    found = pl.grid_search(spark, plan, cv=pl.KFold(4, "k", "mod"), scoring="mse", return_predictions=True)
+    m = np.array(data)
+    scores = {"ols": [], "mean": [], "scaled": []}
+    for k in range(4):
+        train, test = m[m[:, 0] % 4 != k], m[m[:, 0] % 4 == k]
+        w = np.linalg.lstsq(np.c_[np.ones(len(train)), train[:, 1:3]], train[:, 3], rcond=None)[0]
+        scores["ols"].append(((np.c_[np.ones(len(test)), test[:, 1:3]] @ w - test[:, 3]) ** 2).mean())
+        scores["mean"].append(((train[:, 3].mean() - test[:, 3]) ** 2).mean())
+    got = {r.id: r.scores for r in found.results.collect()}
+    assert len(got) == 9
+    for p in preps:
+        assert np.isclose(got[f"prep:{p}, model:ols"], np.mean(scores["ols"]))
+        assert np.isclose(got[f"prep:{p}, model:mean"], np.mean(scores["mean"]))
+    assert got["prep:plain, model:lasso"] != got["prep:scaled, model:lasso"]
+    assert found.predictions.count() == 9 * 200
+    assert found.results._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
 def test_concat(spark):
     a, b = pl.table(spark.createDataFrame([(1,), (2,)], "a int")), pl.table(spark.createDataFrame([(3, "x"), (4, "y")], "a int, b string"))
     assert sorted(rows(value(spark, a.concat([b]))), key=str) == [(1, None), (2, None), (3, "x"), (4, "y")]
@@ -260,7 +361,7 @@ def tfidf(strings, features):
     counts = np.zeros((len(strings), features))
     for i, s in enumerate(strings):
         for t in tokens(s or "", "char_wb", 3, 4):
-            counts[i, zlib.crc32(t.encode()) % features] += 1
+            counts[i, int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % features] += 1
     m = counts * (np.log((1 + len(strings)) / (1 + (counts > 0).sum(0))) + 1)
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
@@ -308,16 +409,38 @@ def test_string_encoder_of_nothing_and_padding(spark):
 def test_truncated_svd_against_numpy(spark):
     texts = [f"text {i % 7} number {i % 11} of some {i % 3}" for i in range(60)]
     df = spark.createDataFrame([(t,) for t in texts], "s string")
-    sigma, right = text.truncated_svd(df, "s", 5, features=256)
+    sigma, right, idf = text.truncated_svd(df, "s", 5, features=256)
     m = tfidf(texts, 256)
     u, s, _ = np.linalg.svd(m)
     assert np.allclose(sigma, s[:5], rtol=1e-4)
     assert np.allclose(np.linalg.norm(m @ right, axis=0), s[:5], rtol=1e-4)
+    new = spark.createDataFrame([(i, t) for i, t in enumerate([*texts[:9], "text 3 of none", "", None])], "i int, s string")
+    got = {r.row_id: list(r["values"]) for r in text.svd_transform(new, "i", "s", right, idf).collect()}
+    assert np.allclose([got[i] for i in range(9)], m[:9] @ right, atol=1e-9)
+    assert not np.any([got[10], got[11]])
     assert not text.truncated_svd(spark.createDataFrame([("",), (None,)], "s string"), "s", 2, features=64)[0].any()
     with pytest.raises(ValueError):
         text.truncated_svd(df, "s", 0)
 
 
+def test_string_encoder_by_svd(spark):
+    """Distances of rows are those of the TF-IDF's best approximation, scaled; and it is fitted on each fold's training rows."""
+    texts = [f"text {i % 7} number {i % 11} of some {i % 3}" for i in range(60)]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    encoder = pl.StringEncoder(components=4, buckets=256, reduction="svd")
+    f = Frame.of(df)
+    z = np.array([list(r) for r in encoder.transform(encoder.fit(f), f).df().collect()])
+    u, s, _ = np.linalg.svd(tfidf(texts, 256))
+    best = u[:, :4] * s[:4]
+    assert np.allclose(z @ z.T, best @ best.T / best.var(0).sum(), atol=1e-4)
+    t = pl.table(spark.createDataFrame([(i, t, float(i % 7)) for i, t in enumerate(texts)], "k int, s string, y double"))
+    x, y = t[["k", "s"]].mark_x(), t["y"].mark_y()
+    plan = x.drop("k").fit_apply(encoder).fit_apply(pl.Ridge(0.1), y=y)
+    assert pl.grid_search(spark, plan, cv=pl.KFold(3, "k", "mod"), scoring="r2").results.first()["scores"] > 0.2
+    with pytest.raises(ValueError):
+        pl.StringEncoder(reduction="none")
+
+
 def test_table_vectorizer(spark):
     df = spark.createDataFrame([(1.5, "a", "2025-01-02", f"text {i}") for i in range(50)], "n double, low string, d string, high string").withColumn("d", F.to_timestamp("d"))
     out = value(spark, pl.table(df).fit_apply(pl.TableVectorizer(high=pl.StringEncoder(components=2, buckets=256))))
