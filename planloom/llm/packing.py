@@ -2,13 +2,14 @@
 
 Each task packs the documents of its partition as they come, so no text or ids are shuffled. A level array holds the
 number of partially filled windows at each fill level; a document goes into the level whose choice makes the sum of the
-squared counts smallest, the fullest on ties. Whole windows of longer documents are cut off first. When too many windows
-are open, and at the end, the fullest are topped up with pieces cut from the emptiest, which leaves one open window. At
+squared counts smallest, the fullest on ties. Whole windows of longer documents are cut off first. When MAX_OPEN windows
+are open, which bounds a task's memory, and at the end, the fullest are topped up with pieces cut from the emptiest, which leaves one open window. At
 the end that one is cut into sequences whose lengths are powers of two, which need no padding.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 from itertools import islice, repeat
@@ -40,6 +41,17 @@ PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), *(b for b in range(0xC0, 0x100) if
 PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^ \t\n\ra-zß-öø-ÿ0-9]+")
 
 
+#: What a vocabulary file says if its texts can be cut into such pieces; texts of any other vocabulary are encoded whole.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class PieceEncoder:
     """Ids of whole texts from the ids of their pieces, each distinct piece being tokenized once.
 
@@ -52,6 +64,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        said = json.loads(self.tokenizer.to_str())
+        self.by_pieces = said["normalizer"] == NORMALIZER and said["pre_tokenizer"] == PRE_TOKENIZER and said["post_processor"] is None and not any(t["normalized"] or t["lstrip"] or t["rstrip"] for t in said["added_tokens"])
         self.model = self.tokenizer.model
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in PLAIN if c > 32}
@@ -89,6 +103,8 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, with the closing id."""
+        if not self.by_pieces:
+            return [np.array([*e.ids, self.end_id], np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         if len(self.known) > MAX_CACHED:
             self._forget()
         pieces, ends = [], []

@@ -105,3 +105,15 @@ def test_pieces_as_the_tokenizer_itself(tokenizer, monkeypatch):
     for at in range(0, len(texts), 50):
         for t, ids in zip(texts[at : at + 50], own.encode(texts[at : at + 50]), strict=True):
             assert ids.tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 2], repr(t)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_are_the_tokenizer_s_for_any_vocabulary(name):
+    from tokenizers import Tokenizer
+
+    path = vocabulary_path(name)
+    rng, plain = np.random.default_rng(4), Tokenizer.from_file(path)
+    letters = list("abcdeXYZ 019  \n\t'.,;!-_ßéÑüЖ你ǅ½٣  \x1c👍🏽")
+    texts = ["", *("".join(rng.choice(letters, rng.integers(1, 60))) for _ in range(500)), "it's We'LL <|endoftext|> x"]
+    own = packing.PieceEncoder(path)
+    assert [list(x) for x in own.encode(texts)] == [[*e.ids, 2] for e in plain.encode_batch(texts, add_special_tokens=False)]
