@@ -435,7 +435,7 @@ def test_string_encoder_by_svd(spark):
     assert np.allclose(z @ z.T, best @ best.T / best.var(0).sum(), atol=1e-4)
     t = pl.table(spark.createDataFrame([(i, t, float(i % 7)) for i, t in enumerate(texts)], "k int, s string, y double"))
     x, y = t[["k", "s"]].mark_x(), t["y"].mark_y()
-    plan = x.drop("k").fit_apply(encoder).fit_apply(pl.Ridge(0.1), y=y)
+    plan = x.drop("k").fit_apply(pl.StringEncoder(components=16, buckets=256, reduction="svd")).fit_apply(pl.Ridge(0.1), y=y)
     assert pl.grid_search(spark, plan, cv=pl.KFold(3, "k", "mod"), scoring="r2").results.first()["scores"] > 0.2
     with pytest.raises(ValueError):
         pl.StringEncoder(reduction="none")

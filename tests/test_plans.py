@@ -1,5 +1,7 @@
 """Plans without Spark: equality, traversal, rewrites, choices, release."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -126,3 +128,14 @@ def test_dot():
     dot = pl.to_dot(np.log(x()).named("my log"))
     assert "my log" in dot
     assert "n0 -> n1" in dot
+
+
+def test_peak_memory():
+    from planloom.memory import PeakMemory
+
+    with PeakMemory(every=0.02) as m:
+        held = bytearray(b"x" * (100 << 20))
+        time.sleep(0.3)
+    assert len(m.samples) > 2
+    assert m.peak - m.samples[0] >= 0
+    assert m.peak >= len(held)
