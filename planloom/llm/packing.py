@@ -28,9 +28,9 @@ END_ID = 2
 #: Open windows of a task, by which its memory is bounded.
 MAX_OPEN = 1024
 #: Pieces of text whose ids a worker remembers.
-MAX_CACHED = 200_000
+MAX_CACHED = 300_000
 #: Characters that are tokenized together.
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 18
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 

@@ -31,7 +31,7 @@ REACH = 4.0
 MEASURES = {
     "symbols_per_word": (0.05, False),
     "dup_line_share": (0.10, False),
-    "repeat_share": (0.05, False),
+    "repeat_share": (0.045, False),
     "mean_word_length": (0.90, True),
 }
 _TEXT_COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"]

@@ -38,6 +38,24 @@ def test_base_rules_and_fences(spark):
     assert not out[71].kept
 
 
+def test_each_measure_rejects_what_the_base_keeps(spark):
+    clean = [(1000 + i, " ".join(f"plain{(i * 7 + k) % 91}" for k in range(40 + i % 9))) for i in range(300)]
+    word = lambda k: f"plain{k}"
+    odd = {
+        "symbols_per_word": " ".join(f"{word(k)}$%" for k in range(40)),
+        "dup_line_share": "\n".join(x for k in range(40) for x in ("ab", word(k))),
+        "repeat_share": " ".join([*map(word, range(9)), *map(word, range(20, 97)), *map(word, range(9))]),
+        "mean_word_length": " ".join(f"{word(k)}{'long' * 9}" for k in range(40)),
+    }
+    rows = clean + [(i, t) for i, t in enumerate(odd.values())]
+    out = {r.doc_id: r for r in rules.judge(documents(spark, rows)).collect()}
+    for i, name in enumerate(odd):
+        assert not out[i].base_failed
+        assert not out[i].kept
+        assert name in out[i].failed
+    assert all(out[d].kept for d, _ in clean)
+
+
 def test_null_groups_and_empty(spark):
     assert rules.judge(documents(spark, [])).count() == 0
     df = spark.createDataFrame([(1, "some words here " * 5, None, None), (None, None, "en", None), (2, "ten words " * 5, None, "s")], "doc_id bigint, text string, lang string, source string")
