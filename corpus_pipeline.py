@@ -20,7 +20,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near copies: SimHash tiles, then a prefix filter for the rest; whole texts of similarity 0.8 or more are linked."""
     return simhash.drop_near_copies(docs, similarity.similar_groups(docs))
 
 

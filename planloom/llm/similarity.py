@@ -1,9 +1,13 @@
-"""Near copies by similarity: a prefix filter on shingle sets finds candidates, an exact comparison of the sets decides.
+"""Near copies by SimHash tiles and by similarity: whole texts decide every link.
 
-Texts with one shingle set are one node. Shingles have an order, the same for all texts; of n shingles the first
-n - ceil(s n) + 1 are a text's prefix, and two texts of similarity s or more share one of their prefixes' shingles. So no
-pair is lost, whatever the order; it only decides how many texts share a shingle, and those frequent in a sample come last.
-Shingles that the same texts have are one. Candidates are first the star of each shingle's texts, then the forest that
+Texts with one shingle set are one node. First candidates are the links of op9's tiles: texts with one fingerprint, and
+fingerprints within its radius. Pairs of the similarity may be any distance apart, and the tiles give a forest, of which
+whole texts may refuse links; so a prefix filter finds the rest, among texts that are not joined by then.
+
+Shingles have an order, the same for all texts; of n shingles the first n - ceil(s n) + 1 are a text's prefix, and two
+texts of similarity s or more share one of their prefixes' shingles. So no pair is lost, whatever the order; it only
+decides how many texts share a shingle, and those frequent in a sample come last.
+Shingles that the same texts have are one. Its candidates are first the star of each shingle's texts, then the forest that
 joins all pairs which sketches of the sets allow, and then every such pair that is not joined yet; texts that are joined
 are not compared again. A sketch holds parities, which differ in no more bits than the sets differ in shingles, so it can't
 lose a pair. Whole texts decide every candidate, and only the texts of candidates leave their partition.
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 
 from planloom.llm.common import cut, in_batches, sieve, stored
 from planloom.llm.components import connected_components
-from planloom.llm.simhash import merge, text_digest
+from planloom.llm.simhash import fingerprint, merge, near_links, text_digest
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -79,21 +83,22 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def _prefixes(known: np.ndarray, counts: np.ndarray, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, prefixes, sketches = [], [], [], []
+            nodes, sizes, prefixes, sketches, fps = [], [], [], [], []
             for t in _texts(batch):
                 h = _hashes(t)
                 length = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1 if len(h) else 0
                 nodes.append(xxhash.xxh3_64_intdigest(h.tobytes()))
                 sizes.append(len(h))
                 sketches.append(sketch(h))
+                fps.append(fingerprint(t))
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     h = h[np.argsort(np.where(known[at] == h, counts[at], 0), kind="stable")]
                 prefixes.append(h[:length].view(np.int64))
             flat = np.concatenate([*prefixes, np.empty(0, np.int64)])
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(list(map(len, prefixes)))], pa.int32()), pa.array(flat))
-            columns = [*(batch.column(k) for k in KEY), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), lists]
-            yield pa.RecordBatch.from_arrays(columns, [*KEY, "node", "n", "sketch", "prefix"])
+            columns = [*(batch.column(k) for k in KEY), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), lists]
+            yield pa.RecordBatch.from_arrays(columns, [*KEY, "node", "n", "sketch", "fp", "prefix"])
 
     return run
 
@@ -150,7 +155,7 @@ def _fine(similarity: float, small: np.ndarray, large: np.ndarray, bits: np.ndar
     return (np.minimum(small, large) >= similarity * np.maximum(small, large) - 1e-9) & (bits <= (1 - similarity) / (1 + similarity) * (small + large) + 1e-9)
 
 
-def _stars(similarity: float):
+def _allowed(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -256,6 +261,18 @@ def _verified(similarity: float):
     return run
 
 
+def near_pairs(prints: DataFrame) -> DataFrame:
+    """(a, b) pairs of the nodes of ``prints`` (node, fp) that the tiles link: stars of equal fingerprints, and a forest of near ones."""
+    marks = stored(prints.select("fp", "node").distinct(), "marks")
+    heads = stored(marks.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    equal = marks.join(heads, "fp").select(F.col("head").alias("x"), F.col("node").alias("y"))
+    near = near_links(heads)
+    for end, name in (("a", "x"), ("b", "y")):
+        near = near.join(heads.select(F.col("fp").alias(end), F.col("head").alias(name)), end)
+    both = equal.unionByName(near.select("x", "y"))
+    return both.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, digest, root and component_id, the smallest doc_id of its group, of every row.
 
@@ -265,7 +282,7 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     """
     doc_id = F.col("doc_id").cast("bigint")
     source = docs.select(F.coalesce(doc_id, F.lit(0)).alias("key"), doc_id.isNull().alias("none"), text_digest(F.col("text")).alias("digest"), "text")
-    made = stored(in_batches(source, _prefixes(*frequent(docs), similarity), "key bigint, none boolean, digest binary, node bigint, n bigint, sketch binary, prefix array<bigint>"), "prints")
+    made = stored(in_batches(source, _prefixes(*frequent(docs), similarity), "key bigint, none boolean, digest binary, node bigint, n bigint, sketch binary, fp bigint, prefix array<bigint>"), "prints")
     first = made.groupBy("node").agg(F.min(F.struct("none", "key", "digest")).alias("m"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = stored(first.select("node", "m.*", "n", "sketch"), "nodes")
     one = made.select("node", F.explode("prefix").alias("token"))
@@ -297,11 +314,17 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
         dealt = dealt.join(nodes.select("node", "n", "sketch"), "node").select(*_GROUP, "sketch").repartition("hub", "tile").sortWithinPartitions("hub", "tile", "guest", "n", "node")
         return stored(in_batches(dealt, _pairs(similarity, joined), "a bigint, b bigint").distinct(), "pairs")
 
-    stars = groups.where("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    for end in "ab":
-        stars = stars.join(nodes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"sketch_{end}")), end)
-    stars = stars.where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9)
-    links = linked(stored(in_batches(stars, _stars(similarity), "a bigint, b bigint"), "stars"))
+    def allowed(pairs: DataFrame) -> DataFrame:
+        for end in "ab":
+            pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"sketch_{end}")), end)
+        pairs = pairs.where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9)
+        return stored(in_batches(pairs, _allowed(similarity), "a bigint, b bigint"), "allowed")
+
+    links = linked(allowed(near_pairs(made)))
+    roots = rooted(links)
+    stars = groups.where("node > hub").join(roots, "node").join(roots.select(F.col("node").alias("hub"), F.col("root").alias("main")), "hub")
+    stars = stars.where("root <> main").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    links = stored(links.unionByName(linked(allowed(stars))), "links")
     joins = pairs(rooted(links), True)
     held = linked(joins)
     links = stored(links.unionByName(held), "links")

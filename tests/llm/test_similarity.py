@@ -2,6 +2,7 @@ import random
 
 from helpers import AWKWARD, documents
 
+import corpus_pipeline
 from planloom.llm import similarity, simhash
 
 
@@ -32,3 +33,17 @@ def test_empty_and_one_stays(spark):
     kept = simhash.drop_near_copies(docs, similarity.similar_groups(docs))
     assert kept.schema == docs.schema
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted({str(r.component_id) for r in similarity.similar_groups(docs).collect()})
+
+
+def test_tiles_join_what_is_in_their_radius(spark, monkeypatch):
+    """The near-copies stage links by SimHash tiles: it does so without its prefix filter; whole texts still decide."""
+    rng, line = random.Random(5), "same menu line of every page here " * 60
+    base = [f"v{rng.randrange(10**6)}" for _ in range(400)]
+    near = [(10, " ".join(base)), (11, " ".join([*base, "tail"])), (12, " ".join(["head", *base]))]
+    alike = [(20, line + " ".join(f"y{rng.randrange(10**6)}" for _ in range(60))), (21, line + " ".join(f"y{rng.randrange(10**6)}" for _ in range(60)))]
+    bits = lambda a, b: (simhash.fingerprint(a[1].encode()) ^ simhash.fingerprint(b[1].encode())).bit_count()
+    assert max(bits(near[0], r) for r in near) <= simhash.RADIUS and bits(*alike) <= simhash.RADIUS
+    kept = similarity.stored
+    monkeypatch.setattr(similarity, "stored", lambda df, label: kept(df.where("false") if label == "shared" else df, label))
+    found = corpus_pipeline.near_copies(spark, documents(spark, near + alike), "")
+    assert sorted(r.doc_id for r in found.collect()) == [10, 20, 21]
