@@ -59,3 +59,21 @@ def test_long_text_takes_linear_time(spark):
 def test_n_grams_are_not_shuffled(spark):
     plan = text.token_counts(spark.createDataFrame(ODD, "k long, s string"), "k", "s")._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and "Generate" not in plan
+
+
+def test_norms_are_not_broadcast(spark):
+    """All rows' norms went to the driver, when they were small enough compressed."""
+    df = spark.createDataFrame([(i, f"{i % 7} red ring") for i in range(5000)], "k long, s string")
+    n, parts = text.extent(df, "s")
+    assert n == 5000
+    counts = text.token_counts(df, "k", "s", parts=parts)
+    weights = text.tfidf(counts, text.inverse_frequency(counts, n), parts)
+    assert weights.groupBy("row_id").agg(F.sum(F.col("value") * F.col("value")).alias("l")).where("abs(l - 1) > 1e-9").count() == 0
+    assert weights._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_partitions_follow_the_length(spark, monkeypatch):
+    monkeypatch.setattr(text, "PART_CHARACTERS", 100)
+    df = spark.createDataFrame([(i, "red ring") for i in range(500)], "k long, s string").coalesce(1)
+    assert text.extent(df, "s") == (500, 50)
+    assert text.token_counts(df, "k", "s").rdd.getNumPartitions() == 50
