@@ -77,3 +77,17 @@ def test_partitions_follow_the_length(spark, monkeypatch):
     df = spark.createDataFrame([(i, "red ring") for i in range(500)], "k long, s string").coalesce(1)
     assert text.extent(df, "s") == (500, 50)
     assert text.token_counts(df, "k", "s").rdd.getNumPartitions() == 50
+
+
+def test_fits_take_equal_texts_once(spark):
+    """All passes of a fit went over the n-grams of every row."""
+    texts = [f"text {i % 7} of some {i % 3}" for i in range(2000)] + [None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "s string").coalesce(1)
+    lists = text.weighed_lists(df, F.lit(0), F.col("s"), "char_wb", 3, 4, 256).collect()
+    assert sum(r.w for r in lists) == 2002 and len(lists) == 22
+    idf = text.idf_of(text.weighed_lists(df, F.lit(0), F.col("s"), "char_wb", 3, 4, 256), 256)[0]
+    buckets = df.select(F.array_distinct(F.transform(text.ngrams(F.col("s"), "char_wb"), lambda t: text.hash_bucket(t, 256))).alias("b")).select(F.explode("b").alias("b"))
+    own = np.zeros(256)
+    for r in buckets.groupBy("b").count().collect():
+        own[r.b] = r["count"]
+    assert np.allclose(idf, np.log((1 + 2002) / (1 + own)) + 1)
